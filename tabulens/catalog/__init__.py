@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulens.catalog import cleaning, profiling
+from tabulens.catalog import cleaning, modelling, profiling
 
-FAMILIES = [profiling, cleaning]
+FAMILIES = [profiling, cleaning, modelling]
 
 
 def queries() -> dict:

@@ -256,7 +256,9 @@ S["quality_issues"] = f"""WITH {DIRTY}, m AS (SELECT count(*) FILTER (value IS N
 g AS (SELECT count(*) AS n FROM dirty GROUP BY event_id, ts, user_id, event_type, value, props), d AS (SELECT sum(n - 1) * 100.0 / sum(n) AS pct FROM g)
 SELECT CAST(0 AS BIGINT) AS seq, 'value' AS "column", 'missing' AS issue, 'info' AS severity, {r("pct")} AS value,
  'ℹ Column ''value'' has ' || printf('%.1f', CAST(pct AS DOUBLE)) || '% missing values' AS message FROM m
-UNION ALL SELECT 1, NULL, 'duplicates', 'warning', {r("pct")}, '⚠ Dataset has ' || printf('%.1f', CAST(pct AS DOUBLE)) || '% duplicate rows' FROM d WHERE pct > 5"""
+UNION ALL SELECT 1, NULL, 'duplicates', 'warning', {r("pct")}, '⚠ Dataset has ' || printf('%.1f', CAST(pct AS DOUBLE)) || '% duplicate rows' FROM d WHERE pct > 5
+UNION ALL SELECT 2, 'props', 'high_cardinality', 'warning', count(DISTINCT props), '⚠ Column ''props'' has high cardinality (' || count(DISTINCT props) || ' unique values)'
+ FROM dirty HAVING count(DISTINCT props) > 50 AND count(DISTINCT props) < 0.05 * count(*)"""
 
 
 @query
@@ -551,7 +553,7 @@ o AS (""" + union_sql([f"""(WITH {_bounds('dirty', c)}, m AS (SELECT avg({c}) AS
 SELECT '{c}' AS c, greatest(count(*) FILTER ({c} < lo OR {c} > hi), count(*) FILTER (abs(({c} - a) / s) > 3)) AS k FROM dirty, b, m)""" for c in NUMS]) + """)
 SELECT 'Dataset contains ' || n || ' rows and 6 columns' AS insight FROM n
 UNION ALL SELECT 'Dataset has ' || printf('%.1f', CAST(holes AS DOUBLE) / (n * 6) * 100) || '% missing values overall' FROM n WHERE holes > 0
-UNION ALL SELECT 'Found 3 numerical and 1 categorical columns'
+UNION ALL SELECT 'Found 3 numerical and ' || CASE WHEN count(DISTINCT props) < 0.05 * count(*) THEN 2 ELSE 1 END || ' categorical columns' FROM dirty
 UNION ALL SELECT 'Column ''' || c || ''' is highly ' || CASE WHEN sk > 0 THEN 'right' ELSE 'left' END || '-skewed (skewness: ' || printf('%.2f', sk) || ')' FROM st WHERE abs(sk) > 1
 UNION ALL (SELECT CASE WHEN abs(r) > 0.8 THEN 'strong' ELSE 'moderate' END || CASE WHEN r > 0 THEN ' positive' ELSE ' negative' END || ' correlation (' || printf('%.2f', r) || ') between ''' || x || ''' and ''' || y || '''' FROM co WHERE abs(r) >= 0.7 ORDER BY abs(r) DESC LIMIT 3)
 UNION ALL SELECT 'Column ''' || c || ''' has ' || k || ' outliers (' || printf('%.1f', k * 100.0::DOUBLE / n) || '%)' FROM o, n WHERE k > 0"""
@@ -564,6 +566,6 @@ def fe_suggestions(spark, sf):
 
 S["fe_suggestions"] = f"WITH {DIRTY}, st AS (" + union_sql([f"SELECT '{c}' AS c, skewness({c}) AS sk FROM dirty" for c in NUMS]) + """)
 SELECT CASE WHEN sk > 0 THEN 'Consider log transformation for right-skewed ''' ELSE 'Consider square transformation for left-skewed ''' END || c || '''' AS suggestion FROM st WHERE abs(sk) > 1
-UNION ALL SELECT 'Consider one-hot encoding for categorical columns: [''event_type'']'
+UNION ALL SELECT 'Consider one-hot encoding for categorical columns: [''event_type''' || CASE WHEN count(DISTINCT props) < 0.05 * count(*) THEN ', ''props'']' ELSE ']' END FROM dirty
 UNION ALL SELECT 'Extract features from datetime columns: [''ts'']'
 UNION ALL SELECT 'Consider standardizing numerical features for ML models'"""

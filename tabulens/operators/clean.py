@@ -214,11 +214,11 @@ def _identifiers(df: DataFrame, include_numeric: bool, protect) -> list[str]:
         return []
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(names):
-        aggs += [F.approx_count_distinct(present(df, c), 0.01).alias(f"d{i}"), F.count_if(is_missing(df, c)).alias(f"h{i}")]
+        aggs += [F.approx_count_distinct(present(df, c)).alias(f"d{i}"), F.count_if(is_missing(df, c)).alias(f"h{i}")]
     row = df.agg(*aggs).first()
     n = row["n"]
-    # The estimate is within 15 % of a unique column's count; only such columns are counted exactly.
-    likely = [c for i, c in enumerate(names) if row[f"h{i}"] <= 1 and row[f"d{i}"] >= 0.85 * (n - row[f"h{i}"])]
+    # A unique column's estimate is within six standard errors (30 %) of n; only such columns are counted exactly.
+    likely = [c for i, c in enumerate(names) if row[f"h{i}"] <= 1 and row[f"d{i}"] >= 0.7 * (n - row[f"h{i}"])]
     if not likely:
         return []
     exact = df.agg(*[(F.count_distinct(present(df, c)) + F.max(is_missing(df, c).cast("int"))).alias(f"e{i}") for i, c in enumerate(likely)]).first()

@@ -17,7 +17,7 @@ from tabulens.functions.columns import (
     string_columns,
 )
 
-APPROX_ERROR = 0.01
+APPROX_ERROR = 0.05
 EXACT_ANYWAY_ROWS = 200_000
 
 
@@ -72,7 +72,8 @@ def _distinct_for_rules(df: DataFrame, facts: Facts) -> dict[str, int]:
     n = facts.rows
     near = []
     for c, d in facts.approx_distinct.items():
-        few, unique, ratio = d <= 100, d >= 0.85 * n, 0.04 <= d / max(n, 1) <= 0.06
+        # Six standard errors around each limit.
+        few, unique, ratio = d <= 100, d >= 0.7 * n, 0.035 <= d / max(n, 1) <= 0.075
         if n <= EXACT_ANYWAY_ROWS or few or unique or ratio:
             near.append(c)
     return {**facts.approx_distinct, **exact_distinct(df, near)}
