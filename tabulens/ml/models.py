@@ -34,10 +34,13 @@ from tabulens.ml.prep import FeatureState, assemble, feature_fit, feature_transf
 from tabulens.ml.split import class_counts, kfold_assign, plain_split, stratified_split
 from tabulens.operators.facts import Facts, column_facts
 from tabulens.operators.roles import guess_target, infer_roles, problem_type_of
-from tabulens.plans.workspace import rows_frame, written
+from tabulens.plans.workspace import rows_frame, written, written_for_fitting
 
 WEIGHT, POSITIVE_WEIGHT, Y, X, ID = "weight", "positive_weight", "label", "features", "id"
+# Depth standing for "grow until pure": levels double the node table each pass, so it has to end somewhere.
 FULL_DEPTH = 12
+BASELINE_DEPTH = 10
+NODE_MEMORY_MB = 1024
 LEAF_DEPTH = {31: 5, 63: 6}
 
 
@@ -68,7 +71,7 @@ class KernelModel:
     @staticmethod
     def fit(df: DataFrame) -> KernelModel:
         width = len(df.select(X).first()[0])
-        mapped = written(_kernel_columns(df, width), "kernel")
+        mapped = written_for_fitting(_kernel_columns(df, width), df.count(), "kernel")
         svm = LinearSVC(featuresCol="mapped", labelCol=Y, weightCol=WEIGHT, maxIter=50, regParam=1e-3)
         if df.agg(F.max(Y)).first()[0] > 1:
             return KernelModel(OneVsRest(classifier=svm, featuresCol="mapped", labelCol=Y, weightCol=WEIGHT).fit(mapped), None, width)
@@ -113,7 +116,8 @@ def registry(rows: int, binary: bool = True, rounds: int = fv.ENSEMBLE_ROUNDS) -
         "K-Nearest Neighbors": NeighbourModel,
         "Decision Tree": DecisionTreeClassifier(labelCol=Y, featuresCol=X, weightCol=WEIGHT, maxDepth=fv.TREE_DEPTH, seed=fv.SEED),
         "SVM (RBF)": KernelModel,
-        "Random Forest": RandomForestClassifier(labelCol=Y, featuresCol=X, weightCol=WEIGHT, numTrees=rounds, maxDepth=FULL_DEPTH, seed=fv.SEED),
+        "Random Forest": RandomForestClassifier(labelCol=Y, featuresCol=X, weightCol=WEIGHT, numTrees=rounds, maxDepth=FULL_DEPTH,
+                                                maxMemoryInMB=NODE_MEMORY_MB, seed=fv.SEED),
         "Gradient Boosting": _boosting(rounds, 3, 0.1, None, binary),
         "XGBoost": _boosting(rounds, 6, 0.3, POSITIVE_WEIGHT, binary),
         "LightGBM": _boosting(rounds, LEAF_DEPTH[31], 0.1, WEIGHT, binary),
@@ -136,7 +140,7 @@ def tuning_grid(name: str, estimator) -> list | None:
 
 def tune(estimator, grid: list, train: DataFrame, folds: int = fv.TUNING_FOLDS, parallelism: int = 4):
     """Grid search by weighted F1 over hash folds -> (best model, chosen parameters, mean score per grid point)."""
-    folded = written(kfold_assign(train, Y, ID, folds), "folds")
+    folded = written_for_fitting(kfold_assign(train, Y, ID, folds), train.count(), "folds")
     judge = MulticlassClassificationEvaluator(labelCol=Y, predictionCol="prediction", metricName="f1")
     fitted = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold",
                             parallelism=parallelism).fit(folded)
@@ -262,8 +266,10 @@ def train_supervised(
     train, test = ready[0], written(ready[1], "test")
     if use_smote:
         train = add_synthetic(written(train, "train"))
-    train = written(with_weights(train), "train")
-    pool = registry(train.count(), len(classes) == 2, rounds)
+    train = written(train, "train")
+    n_train = train.count()
+    train = written_for_fitting(with_weights(train), n_train)
+    pool = registry(n_train, len(classes) == 2, rounds)
     chosen = {name: est for name, est in pool.items() if models is None or name in models}
 
     def run(item):
@@ -287,7 +293,7 @@ def train_supervised(
 
 def cross_validate(estimator, df: DataFrame, folds: int = fv.CV_FOLDS) -> DataFrame:
     """Mean and population deviation over stratified hash folds; weighted precision, recall and F1."""
-    folded = written(kfold_assign(df, Y, ID, folds), "folds")
+    folded = written_for_fitting(kfold_assign(df, Y, ID, folds), df.count(), "folds")
     def one(i):
         model = fit_one(estimator, folded.filter(F.col("fold") != i))
         return metrics_of(cells_of(model.transform(folded.filter(F.col("fold") == i)), Y, "prediction"), "weighted")
@@ -319,10 +325,11 @@ def train_baseline(df: DataFrame, key: str, target: str | None = None, facts: Fa
         ready = coded_labels(ready, target)[0] if kind == "classification" else ready.withColumn(Y, col(target).cast("double"))
         split = plain_split(ready.withColumn("__id", col(key).cast("long")), "__id")
         data = VectorAssembler(inputCols=features, outputCol=X, handleInvalid="skip").transform(split).select("split", X, Y)
-        data = written(data, "baseline")
+        data = written_for_fitting(data, facts.rows, "baseline")
         train, test = (data.filter(F.col("split") == s) for s in ("train", "test"))
         most = max([32, *[facts.distinct[c] for c in features if roles[c] == "categorical"]])
-        options = {"labelCol": Y, "featuresCol": X, "numTrees": fv.BASELINE_TREES, "maxDepth": FULL_DEPTH, "maxBins": min(most, 1024), "seed": fv.SEED}
+        options = {"labelCol": Y, "featuresCol": X, "numTrees": fv.BASELINE_TREES, "maxDepth": BASELINE_DEPTH,
+                   "maxMemoryInMB": NODE_MEMORY_MB, "maxBins": min(most, 1024), "seed": fv.SEED}
         model = (RandomForestClassifier if kind == "classification" else RandomForestRegressor)(**options).fit(train)
         scored = model.transform(test)
         metrics = metrics_of(cells_of(scored, Y, "prediction"), "weighted") if kind == "classification" else regression_values(scored, Y, "prediction")

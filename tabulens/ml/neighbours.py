@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -181,14 +182,21 @@ def smote(df: DataFrame, label: str, key: str = "id", vec: str = "vec", k: int =
     Classes of one row are left alone. The new rows come from a distributed range, not from copies of a base row.
     """
     counts = class_counts(df, label)
-    largest, parts, made_before = max(counts.values()), [], 0
+    largest, made_before, todo = max(counts.values()), 0, []
     for c, m in counts.items():
         if c is not None and 1 < m < largest:
-            own = df.filter(col(label) == F.lit(c)).select(col(key).cast("long").alias("id"), col(vec).cast("array<double>").alias("vec"))
-            made = _smote_class(own, m, largest - m, min(k, m - 1), seed, sizes)
-            parts.append(made.select(F.lit(c).cast(df.schema[label].dataType).alias(label), (F.col("id") + made_before).alias("new_id"),
-                                     "base_id", "neighbour_id", "u", "vec"))
+            todo.append((c, m, made_before))
             made_before += largest - m
+
+    def one(task):
+        c, m, before = task
+        own = df.filter(col(label) == F.lit(c)).select(col(key).cast("long").alias("id"), col(vec).cast("array<double>").alias("vec"))
+        made = _smote_class(own, m, largest - m, min(k, m - 1), seed, sizes)
+        return made.select(F.lit(c).cast(df.schema[label].dataType).alias(label), (F.col("id") + before).alias("new_id"),
+                           "base_id", "neighbour_id", "u", "vec")
+
+    with ThreadPoolExecutor(4) as threads:
+        parts = list(threads.map(one, todo))
     if not parts:
         return df.sparkSession.createDataFrame([], f"{label} {df.schema[label].dataType.simpleString()}, new_id long, base_id long, neighbour_id long, u double, vec array<double>")
     out = parts[0]

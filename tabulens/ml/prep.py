@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tabulens.functions.columns import NESTED, col, datetime_columns, finite, number, numeric_columns, present, string_columns
 from tabulens.operators.roles import with_role
 from tabulens.operators.clean import fill_values
-from tabulens.operators.stats import moments
+from tabulens.operators.stats import mean_std
 from tabulens.operators.timeseries import datetime_parts, find_date_column
 from tabulens.plans.order_stats import exact_quantiles
 from tabulens.plans.ordered import row_numbers
@@ -146,9 +146,8 @@ def _fit_numbers(df: DataFrame, state: FeatureState, scale: bool) -> None:
     state.medians = {c: 0.0 if q[0] is None else q[0] for c, q in medians.items()}
     if scale:
         filled = df.select(*[_imputed(df, state, c).alias(c) for c in state.features])
-        for c, m in moments(filled, state.features).items():
-            state.centre[c] = m["mean"] or 0.0
-            state.spread[c] = m["std_pop"] or 1.0
+        for c, (mean, std) in mean_std(filled, state.features, population=True).items():
+            state.centre[c], state.spread[c] = mean or 0.0, std or 1.0
 
 
 def feature_transform(df: DataFrame, state: FeatureState, keep: list[str] = ()) -> DataFrame:
@@ -168,8 +167,8 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population std; a constant column is only centred."""
-    m = moments(df, columns)
-    scaled = {c: (number(df, c) - F.lit(m[c]["mean"])) / F.lit(m[c]["std_pop"] or 1.0) for c in columns if m[c]["count"]}
+    scaled = {c: (number(df, c) - F.lit(mean)) / F.lit(std or 1.0)
+              for c, (mean, std) in mean_std(df, columns, population=True).items() if mean is not None}
     return df.select(*[scaled[c].alias(c) if c in scaled else col(c) for c in df.columns])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tabulens import fixed_values as fv
 from tabulens.functions.columns import col, datetime_columns, finite, number, numeric_columns, string_columns
-from tabulens.operators.stats import moments
+from tabulens.operators.stats import mean_std
 from tabulens.plans.order_stats import exact_quantiles
 from tabulens.plans.ordered import fill_ordered, with_windows
 from tabulens.plans.workspace import rows_frame, written
@@ -61,10 +61,10 @@ def add_rate_of_change(df: DataFrame, column: str, partition_by: list[str], orde
 
 def add_zscore(df: DataFrame, column: str) -> DataFrame:
     """(x - mean) / sample std over the whole table; no column if the std is zero or undefined."""
-    m = moments(df, [column])[column]
-    if not m["std"]:
+    mean, std = mean_std(df, [column])[column]
+    if not std:
         return df
-    return df.withColumn(f"{column}_zscore", (number(df, column) - F.lit(m["mean"])) / F.lit(m["std"]))
+    return df.withColumn(f"{column}_zscore", (number(df, column) - F.lit(mean)) / F.lit(std))
 
 
 def find_date_column(df: DataFrame) -> str | None:
@@ -88,7 +88,9 @@ def datetime_parts(df: DataFrame, column: str | None = None) -> DataFrame:
     c = col(column)
     forms = [F.hour(c.cast("timestamp") if isinstance(df.schema[column].dataType, T.DateType) else c),
              F.dayofmonth(c), F.month(c), F.weekday(c)]
-    return df.select("*", *[f.alias(f"{column}_{p}") for p, f in zip(PARTS, forms)])
+    names = [f"{column}_{p}" for p in PARTS]
+    kept = [col(x) for x in df.columns if x not in names]
+    return df.select(*kept, *[f.alias(n) for n, f in zip(names, forms)])
 
 
 def feature_inputs(df: DataFrame, exclude_match: str = "token", exclude: list[str] = ()) -> list[str]:
@@ -140,9 +142,9 @@ def engineer_features(
     if state is None:
         cols = numeric_cols if numeric_cols is not None else feature_inputs(with_parts, exclude_match, exclude)
         state = SeriesState([c for c in cols if c in df.columns], window, lag_steps)
-        for c, m in moments(df, state.columns).items():
-            if m["std"]:
-                state.centre[c], state.spread[c] = m["mean"], m["std"]
+        for c, (mean, std) in mean_std(df, state.columns).items():
+            if std:
+                state.centre[c], state.spread[c] = mean, std
     window, cols = state.window, state.columns
     if not cols:
         return with_parts, state

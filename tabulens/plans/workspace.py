@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_FIT_TASK = 50_000
 _own_folders: dict[str, str] = {}
 
 
@@ -21,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="tabulens-")
+        # Boosting cuts its lineage by checkpoints; a session with spark.checkpoint.dir already has this set.
+        context.setCheckpointDir(_own_folders[app])
     return _own_folders[app]
 
 
@@ -36,6 +39,12 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_for_fitting(df: DataFrame, rows: int, name: str = "train") -> DataFrame:
+    """Written with no more partitions than its rows fill: tree fitting runs many short jobs over every partition."""
+    wanted = max(1, rows // ROWS_PER_FIT_TASK)
+    return written(df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df, name)
+
+
 def rows_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A result table of a few (schema-sized) rows."""
     return spark.createDataFrame(rows, schema)
