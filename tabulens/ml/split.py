@@ -39,7 +39,8 @@ def cuts_passed(df: DataFrame, label: str, key: str, seed: int, places: dict) ->
     """How many of its class's cut places (1-based ranks in hash order) a row lies beyond."""
     h, k = row_hash(col(key), seed), col(key).cast("long")
     counts = class_counts(df, label)
-    targets = {(c, i): (F.when(col(label).eqNullSafe(F.lit(c)), h), place, counts[c])
+    own = {c: F.when(col(label).eqNullSafe(F.lit(c)), h) for c in counts}
+    targets = {(c, i): (own[c], place, counts[c])
                for c in counts for i, place in enumerate(places[c]) if 0 < place < counts[c]}
     found = kth_values(df, targets)
     span = df.agg(F.min(k).alias("a"), F.max(k).alias("b")).first()

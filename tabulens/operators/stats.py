@@ -124,8 +124,7 @@ def _corr(df: DataFrame, x: str, y: str) -> Column:
     a, b = number(df, x), number(df, y)
     both = a.isNotNull() & b.isNotNull()
     a, b = F.when(both, a), F.when(both, b)
-    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

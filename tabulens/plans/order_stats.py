@@ -8,14 +8,16 @@ it are ranked. Every pass is an aggregate with map-side combining, so hot values
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-SMALL_VALUES = 4_000_000
+SMALL_VALUES = 400_000
 BRACKET_VALUES = 200_000
 ACCURACY = 10_000
+COARSE = 1_000
 TARGETS_PER_JOB = 60
 
 
@@ -86,16 +88,11 @@ def _kth_batch(df, targets, limit):
         wide = [key for key in state if key not in done and state[key][3] > limit]
         if not wide:
             break
-        guesses = df.agg(*[_bracket_guess(targets[key], state[key]).alias(f"g{i}") for i, key in enumerate(wide)]).first()
-        counters = []
-        for i, key in enumerate(wide):
-            value, (a, b) = targets[key][0], guesses[i]
-            counters += [F.count_if(value < F.lit(a)), F.count_if(value == F.lit(a)),
-                         F.count_if((value > F.lit(a)) & (value < F.lit(b))), F.count_if(value == F.lit(b))]
-        tally = df.agg(*[c.alias(f"t{i}") for i, c in enumerate(counters)]).first()
-        for i, key in enumerate(wide):
-            a, b = guesses[i]
-            under, at_a, between, at_b = tally[4 * i : 4 * i + 4]
+        guess = _guess_ends(df, targets, state, wide)
+        tally = _count_around(df, targets, guess)
+        for key in wide:
+            a, b = guess[key]
+            under, at_a, between, at_b = tally[id(targets[key][0]), a, b]
             if a == b:
                 at_b = 0
             k, old = targets[key][1], state[key]
@@ -125,30 +122,62 @@ def _inside(value, low, high):
     return keep
 
 
-def _bracket_guess(target, state):
-    value, k, _ = target
-    low, high, below, inside = state
-    middle, margin = (k - below - 0.5) / inside, 3.0 / ACCURACY
-    ends = F.array(F.lit(max(0.0, middle - margin)), F.lit(min(1.0, middle + margin)))
-    return F.percentile_approx(F.when(_inside(value, low, high), value), ends, ACCURACY)
+def _same_bracket(targets, state, keys):
+    """Targets of one expression and one bracket share their aggregates: {(expression id, low, high): [key]}."""
+    groups = {}
+    for key in keys:
+        groups.setdefault((id(targets[key][0]), state[key][0], state[key][1]), []).append(key)
+    return groups
+
+
+def _guess_ends(df, targets, state, wide):
+    """A value a little under and one a little over every wanted rank, from one sketch per bracket."""
+    groups, sketches = _same_bracket(targets, state, wide), []
+    for i, keys in enumerate(groups.values()):
+        value, (low, high, _, _) = targets[keys[0]][0], state[keys[0]]
+        ends = []
+        accuracy = _accuracy(state[keys[0]][3])
+        for key in keys:
+            middle, margin = (targets[key][1] - state[key][2] - 0.5) / state[key][3], 3.0 / accuracy
+            ends += [F.lit(max(0.0, middle - margin)), F.lit(min(1.0, middle + margin))]
+        sketches.append(F.percentile_approx(F.when(_inside(value, low, high), value), F.array(*ends), accuracy).alias(f"g{i}"))
+    row = df.agg(*sketches).first()
+    return {key: tuple(row[i][2 * j : 2 * j + 2]) for i, keys in enumerate(groups.values()) for j, key in enumerate(keys)}
+
+
+def _accuracy(rows):
+    """A coarse sketch where one round is enough, the fine one where it saves a pass over the data."""
+    return COARSE if COARSE < ACCURACY and rows * 6 / COARSE <= BRACKET_VALUES else ACCURACY
+
+
+def _count_around(df, targets, guess):
+    """{(expression id, a, b): rows under a, at a, strictly between, at b}."""
+    spots = {(id(targets[key][0]), *ends): targets[key][0] for key, ends in guess.items()}
+    counters = []
+    for (_, a, b), value in spots.items():
+        counters += [F.count_if(value < F.lit(a)), F.count_if(value == F.lit(a)),
+                     F.count_if((value > F.lit(a)) & (value < F.lit(b))), F.count_if(value == F.lit(b))]
+    row = df.agg(*[c.alias(f"t{i}") for i, c in enumerate(counters)]).first()
+    return {spot: tuple(row[4 * i : 4 * i + 4]) for i, spot in enumerate(spots)}
 
 
 def _rank_inside(df, open_targets):
-    keys = list(open_targets)
-    pairs = []
-    for i, key in enumerate(keys):
-        (value, _, _), (low, high, _, _) = open_targets[key]
-        pairs.append(F.when(_inside(value, low, high), F.struct(F.lit(i).alias("t"), value.alias("v"))))
-    counted = (
-        df.select(F.explode(F.filter(F.array(*pairs), lambda p: p.isNotNull())).alias("p"))
-        .groupBy(F.col("p.t").alias("t"), F.col("p.v").alias("v"))
-        .count()
-    )
-    upto = F.sum("count").over(Window.partitionBy("t").orderBy("v"))
-    need = F.element_at(F.array(*[F.lit(open_targets[k][0][1] - open_targets[k][1][2]) for k in keys]), F.col("t") + 1)
-    rows = (
-        counted.select("t", "v", "count", upto.alias("upto"))
-        .filter((F.col("upto") >= need) & (F.col("upto") - F.col("count") < need))
-        .collect()
-    )
-    return {keys[r["t"]]: (r["v"], open_targets[keys[r["t"]]][1][2] + r["upto"] - r["count"]) for r in rows}
+    """Count the distinct values left in each bracket and read off the wanted ranks."""
+    targets, state = {k: t for k, (t, _) in open_targets.items()}, {k: s for k, (_, s) in open_targets.items()}
+    groups = _same_bracket(targets, state, list(open_targets))
+    conditions = [(targets[keys[0]][0], _inside(targets[keys[0]][0], *state[keys[0]][:2])) for keys in groups.values()]
+    pairs = [F.when(c, F.struct(F.lit(i).alias("t"), v.alias("v"))) for i, (v, c) in enumerate(conditions)]
+    held = df.filter(reduce(lambda a, b: a | b, [c for _, c in conditions]))
+    counted = held.select(F.explode(F.array(*pairs)).alias("p")).filter(F.col("p").isNotNull()).groupBy(
+        F.col("p.t").alias("t"), F.col("p.v").alias("v")).count()
+    placed = counted.withColumn("upto", F.sum("count").over(Window.partitionBy("t").orderBy("v")))
+    need = [F.array(*[F.lit(targets[k][1] - state[k][2]) for k in keys]) for keys in groups.values()]
+    wanted = F.element_at(F.array(*need), F.col("t") + 1)
+    hits = F.filter(wanted, lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("count") < k))
+    rows = placed.withColumn("hits", hits).filter(F.size("hits") > 0).collect()
+    out, order = {}, list(groups.values())
+    for r in rows:
+        for key in order[r["t"]]:
+            if targets[key][1] - state[key][2] in r["hits"]:
+                out[key] = (r["v"], state[key][2] + r["upto"] - r["count"])
+    return out

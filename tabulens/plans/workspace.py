@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROWS_PER_FIT_TASK = 50_000
+ROWS_PER_FIT_TASK = 5_000
+SMALL_WAVES = 20
 _own_folders: dict[str, str] = {}
 
 
@@ -28,7 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tabulens/{name}-{uuid.uuid4().hex}"
+    """A fresh path; everything of one application lies in one folder that can be dropped when it ends."""
+    return f"{shared_folder(spark)}/tabulens-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
@@ -40,9 +42,15 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def written_for_fitting(df: DataFrame, rows: int, name: str = "train") -> DataFrame:
-    """Written with no more partitions than its rows fill: tree fitting runs many short jobs over every partition."""
-    wanted = max(1, rows // ROWS_PER_FIT_TASK)
-    return written(df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df, name)
+    """Written for a fit that passes over it many times.
+
+    A table small for the cluster is spread evenly over as many tasks as its rows fill; a large one keeps the
+    partitions it has.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows <= ROWS_PER_FIT_TASK * cores * SMALL_WAVES:
+        df = df.repartition(max(1, min(cores, rows // ROWS_PER_FIT_TASK)))
+    return written(df, name)
 
 
 def rows_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
