@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import credentials, exact, mixing, winnowing
+from tabulens.llm import credentials, exact, interpolation, mixing, winnowing
 
 Q, S = {}, {}
 
@@ -59,3 +59,14 @@ FROM d WINDOW w AS (PARTITION BY t)"""
 @query
 def op9_mix(spark, sf):
     return mixing.entropy_mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def remainder(by: int, id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string")) % by
+
+
+@query
+def op7_lm_score(spark, sf):
+    """The fold that fits the weights is remainder 0; remainder 2 is never learned from."""
+    out = interpolation.interpolated_scores(table(spark, sf, "documents"), remainder(7) != 2, remainder(7) == 0)
+    return out.select("doc_id", (F.coalesce(remainder(7) == 2, F.lit(True))).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
