@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import credentials, exact, interpolation, mixing, winnowing
+from tabulens.llm import credentials, exact, interpolation, language, mixing, winnowing
 
 Q, S = {}, {}
 
@@ -70,3 +70,12 @@ def op7_lm_score(spark, sf):
     """The fold that fits the weights is remainder 0; remainder 2 is never learned from."""
     out = interpolation.interpolated_scores(table(spark, sf, "documents"), remainder(7) != 2, remainder(7) == 0)
     return out.select("doc_id", (F.coalesce(remainder(7) == 2, F.lit(True))).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op10_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language.fit(docs, remainder(3) != 1)
+    out = language.identify_languages(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score",
+                      F.size("spans").cast("long").alias("n_spans"))
