@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import credentials, exact, interpolation, language, mixing, winnowing
+from tabulens.llm import credentials, exact, interpolation, language, materialise, mixing, tokencounts, winnowing
 
 Q, S = {}, {}
 
@@ -79,3 +81,18 @@ def op10_language(spark, sf):
     out = language.identify_languages(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score",
                       F.size("spans").cast("long").alias("n_spans"))
+
+
+#: Where the public tokenizer files are; a parameter of the deployment.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+@query
+def op2_token_counts(spark, sf):
+    return tokencounts.token_counts(table(spark, sf, "documents"), tokencounts.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
+@query
+def op3_training_order(spark, sf):
+    ranks = materialise.load_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return materialise.training_order(table(spark, sf, "documents"), ranks, end_id=50256, key=20)
