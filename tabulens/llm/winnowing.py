@@ -1,9 +1,9 @@
 """Benchmark decontamination by winnowing.
 
-Of every window of WINDOW words the smallest hash of GRAM consecutive words is kept (the rightmost of equal ones), in
-documents and in benchmark items. Two texts that share WINDOW words keep the same fingerprint of that span, so that the
-join of fingerprints misses no shared span; hits are extended to the windows that hold the fingerprint and compared word
-by word. An item of fewer words is one window of its own, found by the hash of the whole window.
+Of every window of WINDOW words the smallest hash of GRAM consecutive words is kept, in documents and in benchmark items.
+Two texts that share WINDOW words keep the same fingerprint of that span, so that the join of fingerprints misses no
+shared span; hits are extended to the windows that have the fingerprint and compared word by word. An item of fewer words
+is one window of its own, found by the hash of the whole window.
 """
 
 from __future__ import annotations
@@ -24,31 +24,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def fingerprints(hashed: DataFrame, keys: list[str], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """keys, gram hash `g` and its word position `s`, for each place that a window selects; `hashed` has keys and `h`, word hashes.
+def minima(h: Column, window: int, gram: int) -> Column:
+    """For every window of word hashes `h` the smallest hash of its grams: the window's fingerprint. Empty for fewer words.
 
-    Windows start at every word; a place is given when the window before selects another one, so that neighbours which
-    agree give one row. Rows of fewer than `window` words give none.
+    `h` has to be a column, not an expression, as it is read many times.
     """
-    grams = window - gram + 1
-    starts = F.when(F.size("h") >= window, F.sequence(F.lit(0), F.size("h") - window)).otherwise(F.array().cast("array<int>"))
-    at = hashed.select(*keys, "h", F.explode(starts).alias("p"))
-    hash_at = lambda j: F.xxhash64(*[F.get("h", F.col("p") + (j + i)) for i in range(gram)])
-    # Slot 0 is the gram before the window.
-    at = at.select(*keys, "p", *[hash_at(j - 1).alias(f"g{j}") for j in range(grams + 1)])
-    slots = list(range(1, grams + 1))
-
-    def rightmost(of):
-        least = F.least(*[F.col(f"g{j}") for j in of])
-        pick = F.when(F.col(f"g{of[-1]}") == least, F.lit(of[-1]))
-        for j in reversed(of[:-1]):
-            pick = pick.when(F.col(f"g{j}") == least, F.lit(j))
-        return least, pick
-
-    least, here = rightmost(slots)
-    _, before = rightmost([j - 1 for j in slots])
-    at = at.select(*keys, "p", least.alias("g"), here.alias("here"), before.alias("before"))
-    return at.filter((F.col("p") == 0) | (F.col("here") != F.col("before"))).select(*keys, "g", (F.col("p") + F.col("here") - 1).alias("s"))
+    def each(length, value):
+        at = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, value)
+
+    grams = each(F.size(h) - (gram - 1), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(gram)]))
+    if window == gram:
+        return grams
+    width = window - gram + 1
+    # The one-element array makes the gram hashes a variable of their own, so that they are not made again for each window.
+    return F.flatten(F.transform(F.array(grams), lambda g: each(F.size(g) - (width - 1), lambda i: F.least(*[F.get(g, i + j) for j in range(width)]))))
+
+
+def _tagged(n: int):
+    """A fingerprint with the length of its window."""
+    return lambda m: F.struct(F.lit(n).alias("n"), m.alias("g"))
 
 
 def item_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -73,24 +68,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("tk", F.xxhash64("text"))
     wins = written(item_windows(benchmark, window, item_col, item_text), "wins")
     hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
-    full = wins.filter(F.col("n") == window).select("win").distinct().select(hashes(F.col("win")).alias("h"))
-    # A benchmark window has one fingerprint: the place it selects itself.
-    marks = written(fingerprints(full, [], window, gram).select("g").distinct(), "marks")
+    lengths = [(row.n, row.n if row.n < window else gram) for row in wins.select("n").distinct().collect()]  # `window` of them at most
+    prints = lambda h: F.flatten(F.array(*[F.transform(F.array_distinct(minima(h, n, k)), _tagged(n)) for n, k in lengths]))
+    none = F.array().cast("array<struct<n:int,g:bigint>>")
+    of_items = wins.select(hashes(F.col("win")).alias("h"), "n")
+    marks = written(of_items.select(F.explode(prints(F.col("h")) if lengths else none).alias("f"), "n").filter("f.n = n").select("f").distinct(), "marks")
     hashed = d.select("doc_id", "tk", hashes(words_of(F.col("text"))).alias("h"))
-    found = fingerprints(hashed, ["doc_id", "tk"], window, gram).join(marks, "g", "left_semi").select("doc_id", "tk", "s", F.lit(window).alias("n"))
-    for row in wins.filter(F.col("n") < window).select("n").distinct().collect():  # fewer than `window` lengths
-        short = wins.filter(F.col("n") == row.n).select(F.xxhash64(*[F.get(hashes(F.col("win")), F.lit(i)) for i in range(row.n)]).alias("g")).distinct()
-        at = hashed.filter(F.size("h") >= row.n).select("doc_id", "tk", "h", F.explode(F.sequence(F.lit(0), F.size("h") - row.n)).alias("s"))
-        at = at.select("doc_id", "tk", "s", F.xxhash64(*[F.get("h", F.col("s") + i) for i in range(row.n)]).alias("g"))
-        found = found.unionByName(at.join(short, "g", "left_semi").select("doc_id", "tk", "s", F.lit(row.n).alias("n")))
-    places = written(found.groupBy(F.col("doc_id").alias("at_doc"), F.col("tk").alias("at_tk")).agg(F.collect_set(F.struct("s", "n")).alias("at")), "places")
-
-    # Extension: the windows that hold a found gram, compared word by word with the benchmark's.
+    marked = written(hashed.select("doc_id", "tk", F.size("h").cast("long").alias("n_words"), (prints(F.col("h")) if lengths else none).alias("fs")), "prints")
+    found = marked.select("doc_id", "tk", F.explode("fs").alias("f")).join(marks, "f", "left_semi")
+    places = written(found.groupBy(F.col("doc_id").alias("at_doc"), F.col("tk").alias("at_tk")).agg(F.collect_set("f").alias("found")), "places")
+
+    # Extension: the windows of a document that have a found fingerprint are compared word by word with the benchmark's.
     same = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("tk") == F.col("at_tk"))
-    held = d.join(places, same).select("doc_id", "tk", words_of(F.col("text")).alias("w"), "at")
-    first = F.when(F.col("at.n") == window, F.greatest(F.col("at.s") - (window - gram), F.lit(0))).otherwise(F.col("at.s"))
-    tries = held.select("doc_id", "tk", "w", F.explode("at").alias("at")).select("doc_id", "tk", "w", F.col("at.n").alias("n"), F.explode(F.sequence(first, F.col("at.s"))).alias("p"))
-    tries = tries.filter(F.col("p") + F.col("n") <= F.size("w")).select("doc_id", "tk", "p", "n", F.slice("w", F.col("p") + 1, F.col("n")).alias("win"))
+    held = d.join(places, same).select("doc_id", "tk", words_of(F.col("text")).alias("w"), "found").withColumn("h", hashes(F.col("w")))
+    starts = lambda n, k: F.filter(F.transform(minima(F.col("h"), n, k), lambda m, i: F.when(
+        F.array_contains("found", F.struct(F.lit(n).alias("n"), m.alias("g"))), F.struct(i.alias("p"), F.lit(n).alias("n")))), lambda x: x.isNotNull())
+    tries = held.select("doc_id", "tk", "w", F.explode(F.flatten(F.array(*[starts(n, k) for n, k in lengths])) if lengths else F.array().cast("array<struct<p:int,n:int>>")).alias("at"))
+    tries = tries.select("doc_id", "tk", F.col("at.p").alias("p"), F.col("at.n").alias("n"), F.slice("w", F.col("at.p") + 1, F.col("at.n")).alias("win"))
     hits = tries.join(wins, ["n", "win"]).groupBy(F.col("doc_id").alias("at_doc"), F.col("tk").alias("at_tk")).agg(
         F.sort_array(F.collect_set(F.struct("p", (F.col("p") + F.col("n")).alias("e")))).alias("at"), F.sort_array(F.collect_set("item")).alias("items"))
     merged = F.aggregate("at", F.array().cast("array<struct<p:int,e:int>>"), lambda acc, x: F.when(
@@ -98,8 +92,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["p"].alias("p"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))),
     ).otherwise(F.concat(acc, F.array(x))))
     hits = written(hits.select("at_doc", "at_tk", "items", merged.alias("spans")), "hits")
-    lengths = d.select("doc_id", "tk", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     covered = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<p:int,e:int>>")), F.lit(0).cast("long"), lambda n, x: n + (x["e"] - x["p"]))
-    return lengths.join(hits, same, "left").select(
+    return marked.join(hits, same, "left").select(
         "doc_id", "n_words", covered.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<p:int,e:int>>")).alias("spans"))
