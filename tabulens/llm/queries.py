@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import credentials, exact, interpolation, language, materialise, mixing, tokencounts, winnowing
+from tabulens.llm import credentials, exact, interpolation, language, materialise, mixing, personal, tokencounts, winnowing
 
 Q, S = {}, {}
 
@@ -96,3 +96,12 @@ def op2_token_counts(spark, sf):
 def op3_training_order(spark, sf):
     ranks = materialise.load_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     return materialise.training_order(table(spark, sf, "documents"), ranks, end_id=50256, key=20)
+
+
+@query
+def op8_personal_data(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = personal.find_personal_data(docs, personal.fit(docs))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == personal.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *[count(k) for k in personal.KINDS], F.sha2(personal.written_spans(F.col("base")), 256).alias("base_sha256"),
+                      personal.written_spans(F.concat("base", "found")).alias("spans"))
