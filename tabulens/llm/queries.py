@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import credentials, exact, interpolation, language, materialise, mixing, personal, tokencounts, winnowing
+from tabulens.llm import credentials, exact, interpolation, language, materialise, mixing, near, personal, tokencounts, winnowing
 
 Q, S = {}, {}
 
@@ -105,3 +105,20 @@ def op8_personal_data(spark, sf):
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == personal.KINDS.index(k))).cast("long").alias(f"n_{k}")
     return out.select("doc_id", *[count(k) for k in personal.KINDS], F.sha2(personal.written_spans(F.col("base")), 256).alias("base_sha256"),
                       personal.written_spans(F.concat("base", "found")).alias("spans"))
+
+
+@query
+def op1_near_dedup(spark, sf):
+    return near.near_duplicates(table(spark, sf, "documents"))
+
+
+S["op1_near_dedup"] = f"""WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array({lower_sql("coalesce(text, '')")}, '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id, min(r.b) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id, n.n"""
