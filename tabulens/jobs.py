@@ -12,12 +12,14 @@ from tabulens.ml.unsupervised import consensus_anomaly
 from tabulens.operators import clean, insights, outliers, profile, roles, stats
 from tabulens.operators.charts import boxplot, histogram, pair_bins
 from tabulens.operators.facts import column_facts
-from tabulens.operators.timeseries import engineer_features, fe_summary
+from tabulens.operators.timeseries import SeriesState, engineer_features, feature_inputs, fe_summary
 from tabulens.plans.workspace import rows_frame, written
 from tabulens.sources.load import SOURCE, load, union_sources
 from tabulens.sources.sinks import id_column, validate_submission, write_predictions, write_report
 
 ROW_KEY = "row_key"
+LABEL_NAMES = ("anomaly", "label", "target")
+PAIR_COLUMNS = 5
 
 
 def with_row_key(df: DataFrame, name: str = ROW_KEY) -> DataFrame:
@@ -25,8 +27,11 @@ def with_row_key(df: DataFrame, name: str = ROW_KEY) -> DataFrame:
     return written(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
 
 
-def describe_tables(df: DataFrame, plots: bool = True) -> dict[str, DataFrame]:
-    """Every exploratory section of one frame; facts, quartiles and correlations are computed once and shared."""
+def describe_tables(df: DataFrame, plots: bool = True, pair_columns: int = PAIR_COLUMNS) -> dict[str, DataFrame]:
+    """Every exploratory section of one frame; facts, quartiles and correlations are computed once and shared.
+
+    Pair plots show the first `pair_columns` numerical columns.
+    """
     spark = df.sparkSession
     facts = column_facts(df)
     kinds = roles.infer_roles(df, facts)
@@ -58,7 +63,7 @@ def describe_tables(df: DataFrame, plots: bool = True) -> dict[str, DataFrame]:
         for p in parts[1:]:
             tables["histograms"] = tables["histograms"].unionByName(p)
         if len(numeric) > 1:
-            tables["pair_bins"] = pair_bins(df, list(numeric))
+            tables["pair_bins"] = pair_bins(df, list(numeric)[:pair_columns])
     return tables
 
 
@@ -143,15 +148,16 @@ def run_anomaly(
             tables["cleaning"] = rows_frame(spark, [(0, "Cleaning", False, True, str(e), [str(e)], False)], clean.REPORT_SCHEMA)
     tables.update({k: v for k, v in describe_tables(cleaned, plots=False).items()
                    if k in ("roles", "correlations", "outliers", "quality_issues", "insights")})
-    left_out = [key, *order_by, *partition_by, *([target] if supervised else []), "is_outlier"]
-    inputs = feature_columns or [c for c in numeric_columns(cleaned) if c not in left_out]
+    # Neither a label nor what the outlier rule said may reach the features, engineered ones included.
+    labels = [c for c in cleaned.columns if c in LABEL_NAMES and c != target]
+    left_out = [key, *order_by, *partition_by, *([target] if supervised else []), *labels, "is_outlier"]
+    inputs = feature_columns or [c for c in feature_inputs(cleaned, exclude=left_out) if c not in left_out]
     engineered, series = engineer_features(cleaned, order_by, partition_by, numeric_cols=inputs, window=window, lag_steps=lag_steps)
     engineered = written(engineered, "engineered")
     tables["features"] = fe_summary(cleaned.columns, engineered)
-    not_features = [c for c in [*order_by, *partition_by, SOURCE, *drop_cols] if c in engineered.columns]
+    not_features = [c for c in [*order_by, *partition_by, SOURCE, *drop_cols, *labels, "is_outlier"] if c in engineered.columns]
     if not supervised:
-        labels = [c for c in numeric_columns(engineered) if c in ("anomaly", "label", "target")]
-        tables["anomalies"] = consensus_anomaly(engineered, key, [*not_features, *labels], contamination)
+        tables["anomalies"] = consensus_anomaly(engineered, key, not_features, contamination)
         if output:
             write_report(tables, output)
         return tables
@@ -159,12 +165,15 @@ def run_anomaly(
     trained = models.train_supervised(engineered, target, key, tune_models=tune_models, use_smote=use_smote,
                                       drop_cols=not_features, models=model_names, rounds=rounds)
     tables["leaderboard"] = trained.board
+    if trained.best is None:  # every model failed: the (empty) board and the reasons are the result
+        tables["failures"] = rows_frame(spark, sorted(trained.failures.items()), "model string, error string")
+        return tables
     best = trained.results[trained.best]
     tables["importances"] = models.importance_table(spark, best["fi"])
     estimator = models.registry(trained.train.count(), len(trained.classes) == 2, rounds)[trained.best]
-    tables["cross_validation"] = models.cross_validate(estimator, trained.train)
+    tables["cross_validation"] = models.cross_validate(models.with_params(estimator, best["params"]), trained.train)
     if output:
-        trained.save(spark, output)
+        trained.save(spark, output, series)
     if test is not None:
         tables.update(score_test(trained, test, series, order_by, partition_by, key, output))
     if output:
@@ -172,7 +181,15 @@ def run_anomaly(
     return tables
 
 
-def score_test(trained: models.Training, test: DataFrame, series, order_by: list[str], partition_by: list[str],
+def score_saved(spark: SparkSession, folder: str, test: DataFrame, order_by: list[str], partition_by: list[str] = (), key: str | None = None,
+                output: str | None = None) -> dict[str, DataFrame]:
+    """`score_test` with what an earlier `run_anomaly(..., output=folder)` saved."""
+    scorer = models.load_training(spark, folder)
+    series = SeriesState(**scorer.series) if scorer.series else None
+    return score_test(scorer, test, series, order_by, list(partition_by), key, output)
+
+
+def score_test(trained: models.Training | models.Scorer, test: DataFrame, series, order_by: list[str], partition_by: list[str],
                key: str | None = None, output: str | None = None) -> dict[str, DataFrame]:
     """Engineer a test table with the training state, predict, check and (if valid) write `submission`."""
     test = clean.clean_names(test)
@@ -190,6 +207,3 @@ def load_all(spark: SparkSession, paths: list[str]) -> DataFrame:
     return load(spark, paths[0]) if len(paths) == 1 else union_sources(spark, paths)
 
 
-def row_key_of(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
-    return (df, key) if key else (with_row_key(df), ROW_KEY)
-

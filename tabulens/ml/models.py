@@ -17,7 +17,6 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -37,9 +36,10 @@ from tabulens.operators.roles import guess_target, infer_roles, problem_type_of
 from tabulens.plans.workspace import rows_frame, written, written_for_fitting
 
 WEIGHT, POSITIVE_WEIGHT, Y, X, ID = "weight", "positive_weight", "label", "features", "id"
-# Depth standing for "grow until pure": levels double the node table each pass, so it has to end somewhere.
+# Default depth standing for "grow until pure": levels double the node table each pass, so it has to end somewhere.
+# Callers of train_supervised and train_baseline can ask for other limits.
 FULL_DEPTH = 12
-BASELINE_DEPTH = 10
+MAX_BINS = 1024
 NODE_MEMORY_MB = 1024
 LEAF_DEPTH = {31: 5, 63: 6}
 
@@ -108,15 +108,18 @@ def _boosting(rounds, depth, step, weight, binary, **more):
     return gbt if binary else OneVsRest(classifier=gbt, labelCol=Y, featuresCol=X, **({"weightCol": weight} if weight else {}))
 
 
-def registry(rows: int, binary: bool = True, rounds: int = fv.ENSEMBLE_ROUNDS) -> dict:
-    """Name -> estimator. The two kernel/neighbour models are built by their own classes."""
+def registry(rows: int, binary: bool = True, rounds: int = fv.ENSEMBLE_ROUNDS, full_depth: int = FULL_DEPTH) -> dict:
+    """Name -> estimator. The two kernel/neighbour models are built by their own classes.
+
+    `full_depth` limits the trees of the forest, which otherwise grow until pure.
+    """
     return {
         "Logistic Regression": LogisticRegression(labelCol=Y, featuresCol=X, weightCol=WEIGHT, maxIter=fv.LOGISTIC_ITERATIONS,
                                                   regParam=1.0 / max(rows, 1), standardization=False),
         "K-Nearest Neighbors": NeighbourModel,
         "Decision Tree": DecisionTreeClassifier(labelCol=Y, featuresCol=X, weightCol=WEIGHT, maxDepth=fv.TREE_DEPTH, seed=fv.SEED),
         "SVM (RBF)": KernelModel,
-        "Random Forest": RandomForestClassifier(labelCol=Y, featuresCol=X, weightCol=WEIGHT, numTrees=rounds, maxDepth=FULL_DEPTH,
+        "Random Forest": RandomForestClassifier(labelCol=Y, featuresCol=X, weightCol=WEIGHT, numTrees=rounds, maxDepth=full_depth,
                                                 maxMemoryInMB=NODE_MEMORY_MB, seed=fv.SEED),
         "Gradient Boosting": _boosting(rounds, 3, 0.1, None, binary),
         "XGBoost": _boosting(rounds, 6, 0.3, POSITIVE_WEIGHT, binary),
@@ -129,7 +132,9 @@ def tuning_grid(name: str, estimator) -> list | None:
     """Two values of two parameters for the ensemble models."""
     grid = ParamGridBuilder()
     if name == "Random Forest":
-        return grid.addGrid(estimator.numTrees, [100, 200]).addGrid(estimator.maxDepth, [FULL_DEPTH, 10]).build()
+        return grid.addGrid(estimator.numTrees, [100, 200]).addGrid(estimator.maxDepth, [estimator.getMaxDepth(), 10]).build()
+    if isinstance(estimator, OneVsRest):  # the grid is over the model of one class; a copy of the whole takes it along
+        estimator = estimator.getClassifier()
     if not isinstance(estimator, GBTClassifier):
         return None
     grid = grid.addGrid(estimator.maxIter, [100, 150])
@@ -148,11 +153,25 @@ def tune(estimator, grid: list, train: DataFrame, folds: int = fv.TUNING_FOLDS,
     return fitted.bestModel, {p.name: v for p, v in grid[best].items()}, list(fitted.avgMetrics)
 
 
+def with_params(estimator, params: dict):
+    """The estimator with a grid point's parameters; for one-against-rest they are those of the model of one class."""
+    if not params:
+        return estimator
+    inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    return estimator.copy({inner.getParam(name): value for name, value in params.items()})
+
+
 def tuning_table(spark: SparkSession, grid: list, scores: list[float]) -> DataFrame:
     rows = [(i, json.dumps({p.name: v for p, v in point.items()}, sort_keys=True), float(s)) for i, (point, s) in enumerate(zip(grid, scores))]
     return rows_frame(spark, rows, "point int, params string, f1_weighted double")
 
 
+def row_number_of(df: DataFrame, key: str) -> Column:
+    """A key as a number: whole numbers as they are, any other type by its 64-bit hash."""
+    whole = df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return col(key).cast("long") if whole else F.xxhash64(col(key))
+
+
 # Labels and training tables -------------------------------------------------------------------------------------
 
 def coded_labels(df: DataFrame, target: str) -> tuple[DataFrame, list]:
@@ -216,14 +235,18 @@ class Training:
 
     def predict(self, df: DataFrame, key: str, target: str) -> DataFrame:
         """(key, target) for new rows, with the classes' own values."""
-        ready = assemble(feature_transform(df.withColumn("__id", col(key)), self.state, ["__id"]), self.state.features, X)
-        out = self.results[self.best]["model"].transform(ready.select(F.col("__id").alias(ID), X))
+        keyed = df.withColumns({"__id": row_number_of(df, key), "__key": col(key)})
+        ready = assemble(feature_transform(keyed, self.state, ["__id", "__key"]), self.state.features, X)
+        out = self.results[self.best]["model"].transform(ready.select(F.col("__id").alias(ID), "__key", X))
         named = F.element_at(F.array(*[F.lit(c) for c in self.classes]), F.col("prediction").cast("int") + 1)
-        return out.select(F.col(ID).alias(key), named.alias(target))
+        return out.select(F.col("__key").alias(key), named.alias(target))
 
-    def save(self, spark: SparkSession, folder: str) -> dict[str, str]:
-        paths = {"features": f"{folder}/feature_state", "model": f"{folder}/best_model"}
+    def save(self, spark: SparkSession, folder: str, series=None) -> dict[str, str]:
+        """Everything that scoring needs; `series` is the state of feature engineering, if there was any."""
+        paths = {"features": f"{folder}/feature_state", "model": f"{folder}/best_model", "scoring": f"{folder}/scoring"}
         self.state.save(spark, paths["features"])
+        facts = {"best": self.best, "classes": self.classes, "width": len(self.state.features), "series": vars(series) if series else None}
+        spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").text(paths["scoring"])
         model = self.results[self.best]["model"]
         model.save(paths["model"]) if isinstance(model, (NeighbourModel, KernelModel)) else model.write().overwrite().save(paths["model"])
         return paths
@@ -240,6 +263,26 @@ def load_model(spark: SparkSession, name: str, path: str, width: int):
     return read(path, spark)
 
 
+@dataclass
+class Scorer:
+    """A saved training, read back: what `jobs.score_test` needs."""
+
+    state: FeatureState
+    classes: list
+    results: dict[str, dict]
+    best: str
+    series: dict | None
+
+    predict = Training.predict
+
+
+def load_training(spark: SparkSession, folder: str) -> Scorer:
+    """Read what `Training.save` wrote."""
+    facts = json.loads(spark.read.text(f"{folder}/scoring").first()[0])
+    model = load_model(spark, facts["best"], f"{folder}/best_model", facts["width"])
+    return Scorer(FeatureState.load(spark, f"{folder}/feature_state"), facts["classes"], {facts["best"]: {"model": model}}, facts["best"], facts["series"])
+
+
 def train_supervised(
     df: DataFrame,
     target: str,
@@ -251,14 +294,17 @@ def train_supervised(
     models: list[str] | None = None,
     rounds: int = fv.ENSEMBLE_ROUNDS,
     parallelism: int = 4,
+    full_depth: int = FULL_DEPTH,
 ) -> Training:
     """Split, fit the features on the training part, fit every model, compare on the test part.
 
-    A model that fails is left out of the comparison and its error kept. `key` is a unique integer column.
+    A model that fails is left out of the comparison and its error kept. `key` is unique and of any type; `full_depth` limits the
+    trees of the forest, which otherwise grow until pure.
     """
     spark = df.sparkSession
     labelled, classes = coded_labels(df, target)
-    labelled = written(stratified_split(labelled.filter(F.col(Y).isNotNull()), Y, key, test_share).withColumn("__id", col(key).cast("long")), "split")
+    labelled = labelled.filter(F.col(Y).isNotNull()).withColumn("__id", row_number_of(labelled, key))
+    labelled = written(stratified_split(labelled, Y, "__id", test_share), "split")
     train_raw, test_raw = (labelled.filter(F.col("split") == s) for s in ("train", "test"))
     state = feature_fit(train_raw, None, [*drop_cols, target, key, Y, "split", "__id"])
     state.target = target
@@ -269,7 +315,7 @@ def train_supervised(
     train = written(train, "train")
     n_train = train.count()
     train = written_for_fitting(with_weights(train), n_train)
-    pool = registry(n_train, len(classes) == 2, rounds)
+    pool = registry(n_train, len(classes) == 2, rounds, full_depth)
     chosen = {name: est for name, est in pool.items() if models is None or name in models}
 
     def run(item):
@@ -308,8 +354,11 @@ def cross_validate(estimator, df: DataFrame, folds: int = fv.CV_FOLDS) -> DataFr
 
 # Baseline -------------------------------------------------------------------------------------------------------
 
-def train_baseline(df: DataFrame, key: str, target: str | None = None, facts: Facts | None = None) -> dict:
-    """Random forest on simply prepared columns -> success, problem type, model, metrics, importances (or an error)."""
+def train_baseline(df: DataFrame, key: str, target: str | None = None, facts: Facts | None = None, full_depth: int = FULL_DEPTH, max_bins: int = MAX_BINS) -> dict:
+    """Random forest on simply prepared columns -> success, problem type, model, metrics, importances (or an error).
+
+    `full_depth` and `max_bins` limit the trees that would otherwise grow until pure and split every value.
+    """
     facts = facts or column_facts(df)
     roles = infer_roles(df, facts)
     target = target or guess_target(df, roles, facts)
@@ -323,13 +372,13 @@ def train_baseline(df: DataFrame, key: str, target: str | None = None, facts: Fa
             raise ValueError("Insufficient data for modeling")
         ready = ready.filter(col(target).isNotNull())
         ready = coded_labels(ready, target)[0] if kind == "classification" else ready.withColumn(Y, col(target).cast("double"))
-        split = plain_split(ready.withColumn("__id", col(key).cast("long")), "__id")
-        data = VectorAssembler(inputCols=features, outputCol=X, handleInvalid="skip").transform(split).select("split", X, Y)
+        split = plain_split(ready.withColumn("__id", row_number_of(ready, key)), "__id")
+        data = assemble(split, features, X).select("split", X, Y)
         data = written_for_fitting(data, facts.rows, "baseline")
         train, test = (data.filter(F.col("split") == s) for s in ("train", "test"))
         most = max([32, *[facts.distinct[c] for c in features if roles[c] == "categorical"]])
-        options = {"labelCol": Y, "featuresCol": X, "numTrees": fv.BASELINE_TREES, "maxDepth": BASELINE_DEPTH,
-                   "maxMemoryInMB": NODE_MEMORY_MB, "maxBins": min(most, 1024), "seed": fv.SEED}
+        options = {"labelCol": Y, "featuresCol": X, "numTrees": fv.BASELINE_TREES, "maxDepth": full_depth,
+                   "maxMemoryInMB": NODE_MEMORY_MB, "maxBins": min(most, max_bins), "seed": fv.SEED}
         model = (RandomForestClassifier if kind == "classification" else RandomForestRegressor)(**options).fit(train)
         scored = model.transform(test)
         metrics = metrics_of(cells_of(scored, Y, "prediction"), "weighted") if kind == "classification" else regression_values(scored, Y, "prediction")
@@ -337,11 +386,11 @@ def train_baseline(df: DataFrame, key: str, target: str | None = None, facts: Fa
         return {"success": True, "target": target, "problem_type": kind, "model": name, "metrics": metrics,
                 "importances": importances(model, features), "fitted": model}
     except Exception as e:  # noqa: BLE001
-        return {"success": False, "target": target, "error": str(e)}
+        return {"success": False, "target": target, "error": f"{type(e).__name__}: {e}"}
 
 
 def baseline_table(spark: SparkSession, result: dict) -> DataFrame:
     """The baseline's outcome as (item, value) rows."""
     if not result["success"]:
-        return rows_frame(spark, [("error", None)], "metric string, value double")
+        return rows_frame(spark, [(f"error: {result['error'].splitlines()[0]}", None)], "metric string, value double")
     return rows_frame(spark, [(m, float(v) if v is not None else None) for m, v in result["metrics"].items()], "metric string, value double")

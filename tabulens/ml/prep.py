@@ -89,7 +89,7 @@ class FeatureState:
     dictionary: DataFrame | None = None
 
     def save(self, spark: SparkSession, path: str) -> None:
-        facts = {k: v for k, v in asdict_without(self, "dictionary").items()}
+        facts = {k: v for k, v in vars(self).items() if k != "dictionary"}
         spark.createDataFrame([(json.dumps(facts),)], "state string").write.mode("overwrite").text(f"{path}/state")
         if self.dictionary is not None:
             self.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
@@ -102,11 +102,6 @@ class FeatureState:
         return state
 
 
-def asdict_without(state, name: str) -> dict:
-    kept = {k: v for k, v in vars(state).items() if k != name}
-    return kept
-
-
 def _with_features(df: DataFrame, state: FeatureState, keep: list[str]) -> DataFrame:
     """Date parts made, fitted columns present (missing ones NULL), labels coded."""
     df = datetime_parts(df, state.date_column) if state.date_column else df
@@ -162,7 +157,10 @@ def feature_transform(df: DataFrame, state: FeatureState, keep: list[str] = ())
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error").transform(df)
+    # Positional names, since the assembler reads a dot in a name as a field.
+    names = [f"__x{i}" for i in range(len(features))]
+    positional = df.withColumns({n: col(c).cast("double") for n, c in zip(names, features)})
+    return VectorAssembler(inputCols=names, outputCol=out, handleInvalid="error").transform(positional).drop(*names)
 
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -211,7 +209,3 @@ def prep_features(df: DataFrame, target: str, roles: dict[str, str]) -> tuple[Da
 def usable_features(df: DataFrame, features: list[str]) -> list[str]:
     """Prepared columns a model can read: texts and times are left out."""
     return [c for c in features if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
-
-
-def clean_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[finite(col(c).cast("double")).alias(c) if c in columns else col(c) for c in df.columns])

@@ -17,17 +17,12 @@ from tabulens.functions.columns import (
     string_columns,
 )
 
-APPROX_ERROR = 0.05
-EXACT_ANYWAY_ROWS = 200_000
-
-
 @dataclass
 class Facts:
     """Schema-sized facts about one frame."""
 
     rows: int
     missing: dict[str, int]
-    approx_distinct: dict[str, int] = field(default_factory=dict)
     minimum: dict[str, float | None] = field(default_factory=dict)
     mean_length: dict[str, float | None] = field(default_factory=dict)
     distinct: dict[str, int] = field(default_factory=dict)
@@ -39,23 +34,21 @@ def long_form(aggregated: DataFrame, entries: list[Column]) -> DataFrame:
 
 
 def column_facts(df: DataFrame) -> Facts:
-    """Row count, missing, approximate distinct, minimum and mean text length in one pass."""
+    """Row count, missing, minimum and mean text length in one pass; exact distinct counts, at every size, in another."""
     names, plain = df.columns, plain_columns(df)
     numbers, strings = numeric_columns(df), string_columns(df)
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(names)]
-    aggs += [F.approx_count_distinct(present(df, c), APPROX_ERROR).alias(f"d{i}") for i, c in enumerate(plain)]
     aggs += [F.min(number(df, c)).alias(f"x{i}") for i, c in enumerate(numbers)]
     aggs += [F.avg(F.coalesce(F.length(col(c)), F.lit(3))).alias(f"l{i}") for i, c in enumerate(strings)]
     row = df.agg(*aggs).first()
     facts = Facts(
         rows=row["n"],
         missing={c: row[f"m{i}"] for i, c in enumerate(names)},
-        approx_distinct={c: row[f"d{i}"] for i, c in enumerate(plain)},
         minimum={c: row[f"x{i}"] for i, c in enumerate(numbers)},
         mean_length={c: row[f"l{i}"] for i, c in enumerate(strings)},
     )
-    facts.distinct = _distinct_for_rules(df, facts)
+    facts.distinct = exact_distinct(df, plain)
     return facts
 
 
@@ -65,15 +58,3 @@ def exact_distinct(df: DataFrame, columns: list[str]) -> dict[str, int]:
         return {}
     row = df.agg(*[F.count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
     return {c: row[i] for i, c in enumerate(columns)}
-
-
-def _distinct_for_rules(df: DataFrame, facts: Facts) -> dict[str, int]:
-    """Exact where the count is small or near a rule's limit; elsewhere the estimate decides the same way."""
-    n = facts.rows
-    near = []
-    for c, d in facts.approx_distinct.items():
-        # Six standard errors around each limit.
-        few, unique, ratio = d <= 100, d >= 0.7 * n, 0.035 <= d / max(n, 1) <= 0.075
-        if n <= EXACT_ANYWAY_ROWS or few or unique or ratio:
-            near.append(c)
-    return {**facts.approx_distinct, **exact_distinct(df, near)}
