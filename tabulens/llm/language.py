@@ -6,12 +6,12 @@ gets the language with most letters.
 """
 
 import bisect
-import re
+import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +30,10 @@ SMOOTHING = 0.5
 #: Log-probability a switch of language costs; a script that fewer than this share of a language's letters have is not its own.
 SWITCH = 8.0
 SCRIPT_SHARE = 0.01
-#: Words remembered by a task, words of a document labelled at once per numpy call.
+#: Words remembered by a task, and characters of text whose words are labelled together.
 CACHE_WORDS = 300_000
-LETTERS = re.compile(r"[^\W\d_]+")
+SLICE_CHARS = 12_000_000
+BLANK = 32
 OUT = "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 
 
@@ -40,9 +41,48 @@ def script_of(ch: str) -> str:
     return SCRIPTS[bisect.bisect_right(STARTS, ord(ch)) - 1][1]
 
 
-def slots_of(word: str) -> list[int]:
-    padded = f"^{word}$"
-    return [xxhash.xxh3_64_intdigest(padded[i:i + n]) % SLOTS for n in GRAMS for i in range(len(padded) - n + 1)]
+@functools.cache
+def letter_table() -> np.ndarray:
+    """Whether a code point is a letter; made once per process."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def words_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Lower-cased runs of letters, and where they start and end in the text (code points)."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    letters = letter_table()[codes]
+    edges = np.flatnonzero(np.diff(letters, prepend=False, append=False))
+    if not len(edges):
+        return [], edges, edges
+    low = text.lower()
+    if len(low) != len(text):  # a few letters become two when lower-cased
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    codes = np.where(letters, np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4"), BLANK)
+    return list(filter(None, codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split(" "))), edges[::2], edges[1::2]
+
+
+def slots_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash slots of the n-grams of all words, one word after the other, and where each word's begin. Ends are marked."""
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(codes)) - np.repeat(begin, sizes)
+    left = np.repeat(sizes, sizes) - place
+    slots, owners = [], []
+    owner = np.repeat(np.arange(len(words)), sizes)
+    key = np.zeros(len(codes), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        shifted = np.zeros_like(codes)
+        shifted[:len(codes) - n + 1] = codes[n - 1:]
+        key = (key ^ shifted) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+        if n in GRAMS:
+            whole = left >= n
+            slots.append((key[whole] * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(SLOTS))
+            owners.append(owner[whole])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return np.concatenate(slots)[order].astype(np.int64), np.searchsorted(owners[order], np.arange(len(words)))
 
 
 def labelled(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
@@ -61,20 +101,20 @@ def labelled(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_co
 def count_grams(batches):
     """Per partition: language, slot, occurrences, and letters by script under negative slots."""
     names = sorted({s for _, s in SCRIPTS})
-    cache = {}
+    number = {s: i for i, s in enumerate(names)}
     counts = {}
     for pdf in batches:
-        for lang, text in zip(pdf["lang"], pdf["text"]):
+        for lang, texts in pdf.groupby("lang")["text"]:
             into = counts.setdefault(lang, (np.zeros(SLOTS, np.int64), np.zeros(len(names), np.int64)))
-            words = LETTERS.findall(text.lower())
-            for w in words:
-                got = cache.get(w)
-                if got is None:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    got = cache[w] = (np.array(slots_of(w)), np.array([names.index(script_of(c)) for c in w]))
-                np.add.at(into[0], got[0], 1)
-                np.add.at(into[1], got[1], 1)
+            for text in texts:
+                seen = Counter(words_of(text)[0])
+                if not seen:
+                    continue
+                times = np.fromiter(seen.values(), np.int64, len(seen))
+                slots, begin = slots_of(list(seen))
+                np.add.at(into[0], slots, np.repeat(times, np.diff(begin, append=len(slots))))
+                for ch, n in Counter("".join(w[0] * (c * len(w)) for w, c in seen.items())).items():
+                    into[1][number[script_of(ch)]] += n
     for lang, (slots, scripts) in counts.items():
         used, seen = np.flatnonzero(slots), np.flatnonzero(scripts)
         yield pd.DataFrame({"lang": lang, "slot": np.concatenate([used, -1 - seen]), "n": np.concatenate([slots[used], scripts[seen]])})
@@ -97,12 +137,15 @@ class Model:
         self.scripts = {s: letters[i] >= SCRIPT_SHARE * np.maximum(letters.sum(0), 1) for i, s in enumerate(names)}
         self.scripts = {s: (x if x.any() else np.ones(len(self.langs), bool)) for s, x in self.scripts.items()}
 
-    def word(self, word: str) -> np.ndarray:
-        """Score per language: mean log-odds of the n-grams times the root of their number; languages of other scripts are out."""
-        allowed = self.scripts[script_of(word[0])]
-        slots = slots_of(word)
-        s = self.table[slots].sum(0) / np.sqrt(len(slots))
-        return np.where(allowed, s, -1e4).astype(np.float32)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores, word x language: mean log-odds of the n-grams times the root of their number; languages of other scripts are out.
+
+        The first letter decides a word's script.
+        """
+        slots, begin = slots_of(words)
+        sums = np.add.reduceat(self.table[slots], begin, axis=0) / np.sqrt(np.diff(begin, append=len(slots)))[:, None]
+        allowed = np.array([self.scripts[script_of(w[0])] for w in words])
+        return np.where(allowed, sums, -1e4).astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -136,28 +179,28 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     return labels
 
 
-def identify(model: Model, texts: list, cache: dict, switch: float) -> list[tuple]:
-    """(language, confidence, spans) of each text; `und` without letters."""
-    found, sizes = [], []
-    numbers, rows = [], []
-    for i, text in enumerate(texts):
-        spans = [m.span() for m in LETTERS.finditer(text)] if text else []
-        found.append(spans)
-        low = text.lower() if text else ""
-        same = len(low) == len(text or "")  # a few letters change length when lower-cased
-        for a, b in spans:
-            w = low[a:b] if same else text[a:b].lower()
-            n = cache.get(w)
-            if n is None:
-                n = cache[w] = len(cache["__rows"])
-                cache["__rows"].append(model.word(w))
-            numbers.append(n)
-        sizes.append(len(spans))
+def identify(model: Model, texts: list, cache: dict[str, int], table: list[np.ndarray], switch: float) -> list[tuple]:
+    """(language, confidence, spans) of each text; `und` without letters. `cache` numbers the words whose scores `table` has."""
+    found, sizes, numbers, new = [], [], [], []
+    for text in texts:
+        words, starts, ends = words_of(text or "")
+        ids = list(map(cache.get, words))
+        if None in ids:
+            fresh = list(set(words).difference(cache))
+            cache.update(zip(fresh, range(len(cache), len(cache) + len(fresh))))
+            new += fresh
+            ids = list(map(cache.__getitem__, words))
+        numbers.append(np.array(ids, np.int64))
+        found.append((starts, ends))
+        sizes.append(len(words))
     sizes = np.array(sizes, np.int64)
     out = [("und", 0.0, [])] * len(texts)
     if not model.langs or not sizes.any():
         return out
-    scores = np.array(cache["__rows"], np.float32)[numbers]
+    if new:
+        table += [model.words(new[a:a + 20_000]) for a in range(0, len(new), 20_000)]
+        table[:] = [np.concatenate(table)]
+    scores = table[0][np.concatenate(numbers)]
     starts = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
@@ -166,7 +209,8 @@ def identify(model: Model, texts: list, cache: dict, switch: float) -> list[tupl
     labels[take] = viterbi(scores[take], sizes[order], switch)
     for i in order:
         mine = labels[starts[i]:starts[i] + sizes[i]]
-        letters = np.array([b - a for a, b in found[i]])
+        first, end = found[i]
+        letters = end - first
         weight = np.bincount(mine, letters, minlength=len(model.langs))
         top = int(weight.argmax())
         total = scores[starts[i]:starts[i] + sizes[i]].astype(np.float64).sum(0)
@@ -174,7 +218,7 @@ def identify(model: Model, texts: list, cache: dict, switch: float) -> list[tupl
         sure = weight[top] / weight.sum() * soft[top] / soft.sum() if weight[top] < weight.sum() else soft[top] / soft.sum()
         cuts = np.flatnonzero(np.diff(mine)) + 1
         edges = [0, *cuts.tolist(), len(mine)]
-        spans = [(found[i][a][0], found[i][b - 1][1], model.langs[mine[a]]) for a, b in zip(edges, edges[1:])]
+        spans = [(int(first[a]), int(end[b - 1]), model.langs[mine[a]]) for a, b in zip(edges, edges[1:])]
         out[i] = (model.langs[top], float(min(1.0, max(0.0, sure))), spans)
     return out
 
@@ -195,14 +239,20 @@ def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", sw
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages floats
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = {"__rows": []}
+        cache, table = {}, []
         for texts in batches:
             out = []
             values = texts.tolist()
-            for a in range(0, len(values), 1000):
+            a = 0
+            while a < len(values):
+                b, chars = a, 0
+                while b < len(values) and (b == a or chars < SLICE_CHARS):
+                    chars += len(values[b] or "")
+                    b += 1
                 if len(cache) > CACHE_WORDS:
-                    cache = {"__rows": []}
-                out += identify(shared.value, values[a:a + 1000], cache, switch)
+                    cache, table = {}, []
+                out += identify(shared.value, values[a:b], cache, table, switch)
+                a = b
             yield pd.DataFrame({"lang_pred": [x[0] for x in out], "score": [x[1] for x in out],
                                 "spans": [[{"start": s, "end": e, "lang": g} for s, e, g in x[2]] for x in out]})
 

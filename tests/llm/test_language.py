@@ -54,7 +54,7 @@ def test_scripts_narrow():
     import pandas as pd
 
     m = language.Model(pd.DataFrame({"lang": ["el", "el", "en", "en"], "slot": [1, -1 - sorted({s for _, s in language.SCRIPTS}).index("greek"), 2, -1 - sorted({s for _, s in language.SCRIPTS}).index("latin")], "n": [5, 9, 5, 9]}))
-    assert m.word("ωμ")[m.langs.index("en")] == -1e4 and m.word("om")[m.langs.index("el")] == -1e4 and (m.word("жж") > -1e4).all()
+    assert m.words(["ωμ"])[0][m.langs.index("en")] == -1e4 and m.words(["om"])[0][m.langs.index("el")] == -1e4 and (m.words(["жж", "a"])[0] > -1e4).all()
     assert language.script_of("я") == "cyrillic" and language.script_of("é") == "latin" and language.script_of("漢") == "han"
 
 
