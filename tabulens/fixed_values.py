@@ -11,6 +11,16 @@ MIN_ROWS_AFTER_CLEANING = 2
 NULL_TOKENS = ["?", "nan", "none", ""]
 NULL_TOKENS_WITHOUT_NONE = ["?", "nan", ""]
 
+# CSV cells that mean "missing", as they are written.
+CSV_NULLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+# How a number is written in text.
+NUMBER_FORM = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+# Date formats tried on text columns, in this order; the first is the engine's own ISO reading.
+DATE_FORMATS = ["ISO", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "MMM d yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d yyyy", "MMMM d, yyyy",
+                "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "yyyy/M/d H:mm:ss"]
+
 # Names of the ten cleaning steps.
 CLEANING_STEPS = [
     "Normalize Column Names",

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens import fixed_values as fv
-from tabulens.functions.columns import col
+from tabulens.functions.columns import col, row_number_of
 from tabulens.ml.kernel import fourier_features
 from tabulens.ml.metrics import METRICS, cells_of, leaderboard, metrics_of, regression_values
 from tabulens.ml.neighbours import knn_classify, smote
@@ -166,12 +166,6 @@ def tuning_table(spark: SparkSession, grid: list, scores: list[float]) -> DataFr
     return rows_frame(spark, rows, "point int, params string, f1_weighted double")
 
 
-def row_number_of(df: DataFrame, key: str) -> Column:
-    """A key as a number: whole numbers as they are, any other type by its 64-bit hash."""
-    whole = df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    return col(key).cast("long") if whole else F.xxhash64(col(key))
-
-
 # Labels and training tables -------------------------------------------------------------------------------------
 
 def coded_labels(df: DataFrame, target: str) -> tuple[DataFrame, list]:

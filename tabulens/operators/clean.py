@@ -120,41 +120,59 @@ def fill_median_mode(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 # Step 4 ---------------------------------------------------------------------------------------------------------
 
-def as_timestamp(c: Column) -> Column:
-    return F.try_to_timestamp(c)
+def as_timestamp(c: Column, form: str = "ISO") -> Column:
+    return F.try_to_timestamp(c) if form == "ISO" else F.try_to_timestamp(F.trim(c), F.lit(form))
 
 
-def text_types(df: DataFrame) -> dict[str, str]:
-    """For each text column: numeric (every value parses), datetime (half of the rows parse) or text."""
-    names = string_columns(df)
-    if not names:
-        return {}
+def as_number(c: Column) -> Column:
+    """A text as DOUBLE if it is written as a number (no type suffixes)."""
+    return F.when(F.trim(c).rlike(fv.NUMBER_FORM), F.trim(c).try_cast("double"))
+
+
+def text_forms(df: DataFrame, names: list[str] | None = None) -> tuple[int, dict[str, dict]]:
+    """Rows, and per text column: known values, numbers, the date format that reads most values (earlier ones first) and how many."""
+    names = string_columns(df) if names is None else names
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(names):
-        aggs += [F.count(col(c)).alias(f"k{i}"), F.count(F.trim(col(c)).try_cast("double")).alias(f"d{i}"),
-                 F.count(as_timestamp(col(c))).alias(f"t{i}")]
+        aggs += [F.count(col(c)).alias(f"k{i}"), F.count(as_number(col(c))).alias(f"d{i}")]
+        aggs += [F.count(as_timestamp(col(c), f)).alias(f"t{i}_{j}") for j, f in enumerate(fv.DATE_FORMATS)]
     row, out = df.agg(*aggs).first(), {}
     for i, c in enumerate(names):
-        if row[f"k{i}"] == row[f"d{i}"]:
+        dates = [row[f"t{i}_{j}"] for j in range(len(fv.DATE_FORMATS))]
+        best = max(range(len(dates)), key=lambda j: (dates[j], -j))
+        out[c] = {"known": row[f"k{i}"], "numbers": row[f"d{i}"], "dates": dates[best], "form": fv.DATE_FORMATS[best]}
+    return row["n"], out
+
+
+def text_types(df: DataFrame) -> dict[str, str]:
+    """For each text column: numeric (every value reads), `datetime` with its format (half of the rows read) or text."""
+    n, forms = text_forms(df) if string_columns(df) else (0, {})
+    out = {}
+    for c, f in forms.items():
+        if f["known"] == f["numbers"]:
             out[c] = "numeric"
-        elif row["n"] and row[f"t{i}"] / row["n"] >= fv.DATETIME_PARSE_RATIO:
-            out[c] = "datetime"
+        elif n and f["dates"] / n >= fv.DATETIME_PARSE_RATIO:
+            out[c] = "datetime" if f["form"] == "ISO" else f"datetime {f['form']}"
         else:
             out[c] = "text"
     return out
 
 
+def retyped(c: str, kind: str) -> Column:
+    if kind == "numeric":
+        return as_number(col(c))
+    return as_timestamp(col(c), kind.partition(" ")[2] or "ISO") if kind.startswith("datetime") else col(c)
+
+
 def fix_types(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
     kinds = text_types(df) if kinds is None else kinds
-    casts = {"numeric": lambda c: F.trim(col(c)).try_cast("double"), "datetime": lambda c: as_timestamp(col(c))}
-    return df.select(*[casts[kinds[c]](c).alias(c) if kinds.get(c) in casts else col(c) for c in df.columns])
+    return df.select(*[retyped(c, kinds.get(c, "text")).alias(c) for c in df.columns])
 
 
 def detect_datetime_cols(df: DataFrame) -> DataFrame:
-    """Text columns whose every value reads as a timestamp."""
-    names = string_columns(df)
-    row = df.agg(*[F.every(as_timestamp(col(c)).isNotNull() | col(c).isNull()).alias(f"t{i}") for i, c in enumerate(names)]).first() if names else []
-    return rows_frame(df.sparkSession, [(c, bool(row[i])) for i, c in enumerate(names)], "column string, is_datetime boolean")
+    """Text columns whose every value reads as a timestamp in one format."""
+    forms = text_forms(df)[1] if string_columns(df) else {}
+    return rows_frame(df.sparkSession, [(c, f["dates"] == f["known"]) for c, f in forms.items()], "column string, is_datetime boolean")
 
 
 # Step 5 ---------------------------------------------------------------------------------------------------------

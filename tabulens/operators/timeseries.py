@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tabulens import fixed_values as fv
 from tabulens.functions.columns import col, datetime_columns, finite, number, numeric_columns, string_columns
+from tabulens.operators.clean import as_timestamp, text_forms
 from tabulens.operators.stats import mean_std
 from tabulens.plans.order_stats import exact_quantiles
 from tabulens.plans.ordered import fill_ordered, with_windows
@@ -82,7 +83,7 @@ def datetime_parts(df: DataFrame, column: str | None = None) -> DataFrame:
     if column is None or column not in df.columns:
         return df
     if isinstance(df.schema[column].dataType, T.StringType):
-        df = df.withColumn(column, F.try_to_timestamp(col(column)))
+        df = df.withColumn(column, as_timestamp(col(column), text_forms(df, [column])[1][column]["form"]))
     elif not isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return df
     c = col(column)

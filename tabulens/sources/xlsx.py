@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulens.plans.workspace import written
+
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 # Built-in number formats that show a date or time.
 DATE_FORMAT_IDS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
@@ -86,12 +88,19 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def load_xlsx(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """First sheet of every workbook; the first row names the columns, cell kinds decide the types."""
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(_parse, CELL_SCHEMA)
-    names = raw.filter(F.col("row_no") == 0).select("cells").first()["cells"]
-    body = raw.filter(F.col("row_no") > 0)
-    kind = [F.substring("kinds", i + 1, 1) for i in range(len(names))]
-    cell = [F.get("cells", F.lit(i)) for i in range(len(names))]
+    """First sheet of every workbook; the first row names the columns, cell kinds decide the types.
+
+    Cells belong to columns by the names of their own workbook; a column that a workbook lacks is NULL in its rows.
+    """
+    raw = written(spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(_parse, CELL_SCHEMA), "cells")
+    heads = raw.filter(F.col("row_no") == 0).select("path", F.col("cells").alias("names"))
+    # One row per column name, in the order of first appearance.
+    named = heads.select("path", F.posexplode("names").alias("place", "name")).groupBy("name").agg(F.min(F.struct("path", "place")).alias("at")).orderBy("at")
+    names = [r["name"] for r in named.collect() if r["name"] is not None]
+    body = raw.filter(F.col("row_no") > 0).join(heads, "path")
+    place = [F.array_position("names", F.lit(n)).cast("int") for n in names]
+    kind = [F.when(p > 0, F.substring(F.col("kinds"), p, F.lit(1))) for p in place]
+    cell = [F.when(p > 0, F.get("cells", p - 1)) for p in place]
     aggs = []
     for i in range(len(names)):
         aggs += [F.count_if(kind[i] == k).alias(f"{k}{i}") for k in "ndbs"]
