@@ -128,6 +128,10 @@ def registry(rows: int, binary: bool = True, rounds: int = fv.ENSEMBLE_ROUNDS, f
     }
 
 
+def registry_names() -> list[str]:
+    return ["Logistic Regression", "K-Nearest Neighbors", "Decision Tree", "SVM (RBF)", "Random Forest", "Gradient Boosting", "XGBoost", "LightGBM", "CatBoost"]
+
+
 def tuning_grid(name: str, estimator) -> list | None:
     """Two values of two parameters for the ensemble models."""
     grid = ParamGridBuilder()
