@@ -139,3 +139,14 @@ def test_boosting_grid_with_three_classes(spark):
     assert len(grid) == 4
     chosen = models.with_params(estimator, {"maxIter": 7, "stepSize": 0.05})
     assert chosen.getClassifier().getMaxIter() == 7 and estimator.getClassifier().getMaxIter() == 5
+
+
+def test_splits_of_many_classes_and_a_hot_one(spark):
+    from tabulens.ml import split
+
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.col("id") % 12_001).alias("y"))
+    out = split.stratified_split(df, "y", "id").groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect()
+    assert len(out) > 10_000 and all(r.t == int(r.n * 0.2 + 0.5) for r in out)
+    folds = split.kfold_assign(df.filter("y IS NULL OR y < 100"), "y", "id", 5).groupBy("y", "fold").count().collect()
+    assert {r["count"] for r in folds if r.y is None} == {3000}
+    assert split.class_weights(df, "y").count() == len(out)
