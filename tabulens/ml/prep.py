@@ -22,7 +22,8 @@ from tabulens.plans.workspace import written
 MISSING_LABEL = "nan"
 BROADCAST_LABELS = 100_000
 SMALL_DICTIONARY = 2_000_000
-SALTS = 16
+#: A label that more than one in HOT_LABELS rows carries is hot; there are fewer than HOT_LABELS of them.
+HOT_LABELS = 1000
 
 
 # Label dictionaries ---------------------------------------------------------------------------------------------
@@ -51,7 +52,7 @@ def encode(df: DataFrame, dictionary: DataFrame, sizes: dict[str, int], columns:
            broadcast_labels: int | None = None) -> DataFrame:
     """Replace labels by codes; a label the dictionary does not know gets code 0.
 
-    Small dictionaries are broadcast; larger ones are joined on (label, salt) so that no label lands in one task.
+    Small dictionaries are broadcast; of larger ones the hot labels are, so that no label lands in one task.
     """
     limit = BROADCAST_LABELS if broadcast_labels is None else broadcast_labels
     for i, c in enumerate(columns or list(sizes)):
@@ -60,14 +61,22 @@ def encode(df: DataFrame, dictionary: DataFrame, sizes: dict[str, int], columns:
         if sizes.get(c, 0) <= limit:
             joined = df.withColumn(f"__k{i}", label).join(F.broadcast(codes), F.col(f"__k{i}") == F.col(f"__w{i}"), "left")
         else:
-            salted = df.withColumn(f"__k{i}", label).withColumn(f"__s{i}", F.floor(F.rand(i) * SALTS).cast("int"))
-            copies = codes.withColumn(f"__t{i}", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            joined = salted.join(copies, (F.col(f"__k{i}") == F.col(f"__w{i}")) & (F.col(f"__s{i}") == F.col(f"__t{i}")), "left")
+            joined = _join_skewed(df.withColumn(f"__k{i}", label), codes, f"__k{i}", f"__w{i}", f"__c{i}")
         code = F.coalesce(F.col(f"__c{i}"), F.lit(0)).cast("double")
         df = joined.select(*[code.alias(c) if x == c else col(x) for x in df.columns])
     return df
 
 
+def _join_skewed(df: DataFrame, codes: DataFrame, label: str, value: str, code: str) -> DataFrame:
+    """Left join of rows with their label's code: hot labels, few by their definition, are broadcast, the others shuffled."""
+    counts = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.filter(F.col("__n") > df.count() / HOT_LABELS).select("__label")
+    hot = codes.join(hot, F.col(value) == F.col("__label"), "left_semi")
+    first = df.join(F.broadcast(hot), F.col(label) == F.col(value), "left")
+    rest = first.filter(F.col(code).isNull()).drop(value, code).join(codes, F.col(label) == F.col(value), "left")
+    return first.filter(F.col(code).isNotNull()).unionByName(rest)
+
+
 def label_encode(df: DataFrame, columns: list[str], **sizes) -> DataFrame:
     dictionary = label_dictionary(df, columns, **sizes)
     return encode(df, dictionary, dictionary_sizes(dictionary), columns)
