@@ -23,14 +23,14 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, share: int = HOT_SHARE) -> DataFrame:
     """`rows` left-joined with `groups` (unique non-null `on`, `size` = number of rows of the group).
 
-    Hot groups, fewer than HOT_SHARE of them by their definition, are broadcast, so that no task gathers the rows of one.
-    Every other group has at most total / HOT_SHARE rows and goes through a shuffle. Null keys match nothing.
+    Groups of more than total / `share` rows are hot. There are fewer than `share` of them by this definition, so they are
+    broadcast, and no task gathers the rows of one. Every other group goes through a shuffle. Null keys match nothing.
     """
-    hot = groups.filter(F.col(size) > total / HOT_SHARE)
-    cold = groups.filter(F.col(size) <= total / HOT_SHARE)
+    hot = groups.filter(F.col(size) > total / share)
+    cold = groups.filter(F.col(size) <= total / share)
     named = [c for c in groups.columns if c != on]
     first = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), on, "left")
     done = first.filter(F.col("__hot")).drop("__hot")

@@ -29,6 +29,8 @@ SKETCH_WORDS = 8
 MIN_ESTIMATE, CLUSTER_ESTIMATE = 0.54, 0.7
 #: Nodes of a chunk, nodes of a band compared in one group, queries of a chunk tested in one group, words a task remembers.
 CHUNK, BLOCK, QUERIES, REMEMBERED = 512, 1000, 2000, 400_000
+#: Narrow rows of one partition of a written step; hot bands that are broadcast, at most; bits of the filter of candidate ids.
+NARROW_ROWS, HOT_BANDS, FILTER_BITS = 500_000, 30_000, 1 << 22
 _seed = np.random.default_rng(20240229)
 FACTORS = _seed.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _seed.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -91,13 +93,17 @@ def _signatures(batches):
                                           pa.array(sketches, pa.binary())], names=["doc_id", "n", "set_key", "bands", "sketch"])
 
 
-def _sets(batches):
-    shingle = Shingles()
-    for batch in batches:
-        rows = [shingle(t.as_py()).tobytes() for t in batch["text"]]
-        mine = pa.array([xxhash.xxh3_128_digest(r) == k for r, k in zip(rows, batch["set_key"].to_pylist())])
-        out = pa.RecordBatch.from_arrays([batch["node"], batch["chunk"], pa.array(rows, pa.binary())], names=["node", "chunk", "shingles"])
-        yield out.filter(mine)
+def _sets(bits):
+    """Sets of the documents whose id may be a candidate's; the bits spare the others the way through the shuffle."""
+    def run(batches):
+        shingle = Shingles()
+        for batch in batches:
+            at = batch["bit"].to_numpy()
+            batch = batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            rows = [shingle(t.as_py()).tobytes() for t in batch["text"]]
+            digests = [xxhash.xxh3_128_digest(r) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "digest", "shingles"])
+    return run
 
 
 def _runs(batches, keys: list[str]):
@@ -215,16 +221,22 @@ def _answers(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def narrow(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """`written` for narrow rows, about `rows` of them: in as many partitions as they fill, so that many small steps stay cheap."""
+    return written(df.coalesce(1 + rows // NARROW_ROWS), name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable, for every node of edges(a, b). Labels spread along edges and by pointer
     jumping; every round is written, so that lineage stays short."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "near-edge")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-label")
+    rows = both.count()
+    labels = narrow(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), rows, "near-label")
     while True:
         spread = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("x")).agg(F.min("label").alias("seen"))
         step = labels.join(spread, labels["node"] == spread["x"]).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("to"))
         ends = labels.select(F.col("node").alias("e_node"), F.col("label").alias("e_label"))
-        after = written(step.join(ends, step["to"] == ends["e_node"], "left").select("node", "old", F.coalesce("e_label", "to").alias("label")), "near-label")
+        after = narrow(step.join(ends, step["to"] == ends["e_node"], "left").select("node", "old", F.coalesce("e_label", "to").alias("label")), rows, "near-label")
         labels = after.select("node", "label")
         if after.filter("label <> old").isEmpty():
             return labels
@@ -250,12 +262,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                         F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     sets = sets.groupBy("node").agg(F.min(F.struct("set_key", "copies", "n", "bands", "sketch")).alias("s"))
     nodes = written(sets.select("node", "s.*"), "near-node")
+    n_nodes = nodes.count()
 
     # Bands that more than one node has; the star of each band's first node by hash.
     banded = nodes.select("node", F.explode("bands").alias("key"))
     first = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
-    keys = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), first.alias("lead")).filter("members > 1"), "near-key")
-    members = written(with_groups(banded, keys, "key", "members", nodes.count() * BANDS).filter("members IS NOT NULL"), "near-member")
+    keys = narrow(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), first.alias("lead")).filter("members > 1"), n_nodes * BANDS, "near-key")
+    members = narrow(with_groups(banded, keys, "key", "members", n_nodes * BANDS, HOT_BANDS).filter("members IS NOT NULL"), n_nodes * BANDS, "near-member")
     info = nodes.select("node", "n", "sketch")
     star = members.filter("node <> lead").select("node", "lead").distinct()
     differ = sum(F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(SKETCH_WORDS))
@@ -263,37 +276,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = star.join(info.select("node", words(F.col("sketch")).alias("x")), "node").join(info.select(F.col("node").alias("lead"), words(F.col("sketch")).alias("y")), "lead")
     steps = np.arange(32.0 * SKETCH_WORDS)
     most = float(steps[estimated(steps) >= CLUSTER_ESTIMATE].max())
-    cluster = components(star.filter(differ <= most).select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    placed = members.select("node").distinct().join(cluster, "node", "left").select("node", F.coalesce("label", "node").alias("cluster"))
-    placed = written(placed, "near-cluster")
-    sizes = written(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "near-size")
+    # A node joins the first of its stars' leads, and with it the lead's own first; what lands apart is tested across chunks.
+    first = F.min(F.struct(F.xxhash64("lead").alias("h"), "lead"))["lead"]
+    led = narrow(star.filter(differ <= most).groupBy("node").agg(first.alias("lead")), n_nodes, "near-lead")
+    above = led.select(F.col("node").alias("lead"), F.col("lead").alias("top"))
+    placed = members.select("node").distinct().join(led.join(above, "lead", "left"), "node", "left")
+    placed = narrow(placed.select("node", F.coalesce("top", "lead", "node").alias("cluster")), n_nodes, "near-cluster")
+    sizes = narrow(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), n_nodes, "near-size")
     placed = with_groups(placed, sizes, "cluster", "size", placed.count())
     chunk = F.xxhash64("cluster", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("size") / CHUNK)))
-    chunks = written(placed.select("node", chunk.alias("chunk")), "near-chunk")
+    chunks = narrow(placed.select("node", chunk.alias("chunk")), n_nodes, "near-chunk")
     # Copies share a node's set, so the row of the node itself gives it; rows with its id but other words give another digest.
-    tests = d.join(chunks.join(nodes.select("node", "set_key"), "node"), F.col("doc_id") == F.col("node")).select("node", "chunk", "set_key", "text")
-    full = tests.mapInArrow(_sets, "node long, chunk long, shingles binary").dropDuplicates(["node"])
-    full = written(full, "near-set")
-    parts = written(full.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_chunk_parts, "node long, part long"), "near-part")
+    bit = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(FILTER_BITS))
+    octets = chunks.select(F.pmod(F.xxhash64("node", F.lit(4)), F.lit(FILTER_BITS)).alias("bit"))
+    octets = octets.groupBy(F.shiftright("bit", 5).alias("at")).agg(
+        F.expr("bit_or(shiftleft(CAST(1 AS BIGINT), CAST(bit % 32 AS INT)))").alias("v")).collect()  # FILTER_BITS / 32 rows at most
+    bits = np.zeros(FILTER_BITS // 32, "<u4")
+    bits[[r["at"] for r in octets]] = [r["v"] for r in octets]
+    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))  # FILTER_BITS / 8 bytes
+    made = d.filter("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).mapInArrow(_sets(shared), "doc_id long, digest binary, shingles binary")
+    wanted = chunks.join(nodes.select("node", "set_key"), "node")
+    full = made.join(wanted, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("set_key"))).select("node", "chunk", "shingles")
+    full = written(full.dropDuplicates(["node"]), "near-set")
+    parts = full.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_chunk_parts, "node long, part long")
+    parts = written(parts.repartition(1 + n_nodes // NARROW_ROWS), "near-part")
 
     for best_only in (True, False):
-        asks = _cross(members, chunks, parts, info, best_only)
+        asks = _cross(members, chunks, parts, info, n_nodes, best_only)
         links = _tested(asks, full, parts)
         merged = components(links)
-        parts = written(parts.join(merged.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("label", "part").alias("part")), "near-part")
+        parts = narrow(parts.join(merged.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("label", "part").alias("part")), n_nodes, "near-part")
 
     ends = nodes.join(parts, "node", "left").select("set_key", "copies", "node", F.coalesce("part", "node").alias("component"))
-    out = with_groups(sig.select("doc_id", "n", "set_key"), written(ends, "near-end"), "set_key", "copies", total)
+    out = with_groups(sig.select("doc_id", "n", "set_key"), narrow(ends, n_nodes, "near-end"), "set_key", "copies", total)
     alone = F.col("component").isNull() | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _cross(members: DataFrame, chunks: DataFrame, parts: DataFrame, info: DataFrame, best_only: bool) -> DataFrame:
+def _cross(members: DataFrame, chunks: DataFrame, parts: DataFrame, info: DataFrame, n_nodes: int, best_only: bool) -> DataFrame:
     """node, chunk: exact tests that could connect parts; with `best_only` one for each pair of parts, the most promising."""
     rows = members.select("key", "node", "members").join(parts, "node")
     open_keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.first("members").alias("size")).filter("low <> high")
-    open_keys = written(open_keys.select("key", "size"), "near-open")
+    open_keys = narrow(open_keys.select("key", "size"), n_nodes, "near-open")
     rows = with_groups(rows.drop("members"), open_keys, "key", "size", members.count()).filter("size IS NOT NULL")
     # A large band is cut into blocks, and each pair of blocks is a group of its own.
     blocks = F.ceil(F.col("size") / BLOCK)
@@ -304,7 +329,7 @@ def _cross(members: DataFrame, chunks: DataFrame, parts: DataFrame, info: DataFr
     if best_only:
         pair = [F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")]
         asks = asks.groupBy(*pair).agg(F.max_by(F.struct("node", "chunk"), F.struct("estimate", "node", "chunk")).alias("x")).select("x.*")
-    return written(asks.select("node", "chunk").distinct(), "near-ask")
+    return narrow(asks.select("node", "chunk").distinct(), n_nodes * (1 if best_only else 4), "near-ask")
 
 
 def _tested(asks: DataFrame, full: DataFrame, parts: DataFrame) -> DataFrame:
