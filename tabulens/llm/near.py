@@ -184,18 +184,23 @@ def _asks(batches):
         part, size, side = t["part"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy()
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
         node, chunk, same = t["node"].to_numpy(), t["chunk"].to_numpy(), t["p"][0].as_py() == t["q"][0].as_py()
+        # The node of the smaller part asks: few stragglers ask for the chunks of a large part, not its many nodes for theirs.
+        order = np.lexsort((part, t["part_size"].to_numpy()))
+        rank = np.empty(len(node), np.int64)
+        rank[order] = np.cumsum(np.r_[0, part[order][1:] != part[order][:-1]])
         found = []
-        for i in np.arange(len(node)) if same else np.flatnonzero(side == 0):
-            ok = part != part[i]
-            ok &= np.arange(len(node)) > i if same else side == 1
+        for i in np.flatnonzero(rank < rank.max()):
+            ok = rank > rank[i]
+            if not same:
+                ok &= side != side[i]
             ok &= (100 * np.minimum(size, size[i]) >= 75 * np.maximum(size, size[i]))
             j = np.flatnonzero(ok)
             if len(j):
                 e = estimated(np.bitwise_count(sketch[j] ^ sketch[i]).sum(1).astype(float))
                 j, e = j[e >= MIN_ESTIMATE], e[e >= MIN_ESTIMATE]
                 if len(j):  # a node asks once for a chunk and part
-                    order = np.lexsort((-e, part[j], chunk[j]))
-                    j, e = j[order], e[order]
+                    by = np.lexsort((-e, part[j], chunk[j]))
+                    j, e = j[by], e[by]
                     first = np.r_[True, (chunk[j][1:] != chunk[j][:-1]) | (part[j][1:] != part[j][:-1])]
                     found.append(np.array([np.full(first.sum(), node[i]), chunk[j][first], np.full(first.sum(), part[i]), part[j][first], e[first]], dtype=object))
         if found:
@@ -316,15 +321,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _cross(members: DataFrame, chunks: DataFrame, parts: DataFrame, info: DataFrame, n_nodes: int, best_only: bool) -> DataFrame:
     """node, chunk: exact tests that could connect parts; with `best_only` one for each pair of parts, the most promising."""
-    rows = members.select("key", "node", "members").join(parts, "node")
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("part_size"))
+    sized = narrow(with_groups(parts, narrow(sizes, n_nodes, "near-part-size"), "part", "part_size", n_nodes), n_nodes, "near-sized")
+    rows = members.select("key", "node", "members").join(sized, "node")
     open_keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.first("members").alias("size")).filter("low <> high")
     open_keys = narrow(open_keys.select("key", "size"), n_nodes, "near-open")
     rows = with_groups(rows.drop("members"), open_keys, "key", "size", members.count()).filter("size IS NOT NULL")
     # A large band is cut into blocks, and each pair of blocks is a group of its own.
     blocks = F.ceil(F.col("size") / BLOCK)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), blocks)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("key", "node", "part", F.least("block", "to").alias("p"), F.greatest("block", "to").alias("q"), F.when(F.col("block") <= F.col("to"), 0).otherwise(1).alias("side"))
-    rows = rows.join(info, "node").join(chunks, "node").select("key", "p", "q", "side", "node", "part", "n", "sketch", "chunk")
+    rows = rows.select("key", "node", "part", "part_size", F.least("block", "to").alias("p"), F.greatest("block", "to").alias("q"), F.when(F.col("block") <= F.col("to"), 0).otherwise(1).alias("side"))
+    rows = rows.join(info, "node").join(chunks, "node").select("key", "p", "q", "side", "node", "part", "part_size", "n", "sketch", "chunk")
     asks = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_asks, "node long, chunk long, part long, other long, estimate double")
     if best_only:
         pair = [F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")]
