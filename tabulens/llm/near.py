@@ -89,19 +89,30 @@ def _signatures(batches):
             s = shingle(text.as_py())
             rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), *signature(s)) if len(s) else (0, None, None, None))
         n, keys, bands, sketches = zip(*rows)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
-                                          pa.array(sketches, pa.binary())], names=["doc_id", "n", "set_key", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tk"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                                          pa.array(sketches, pa.binary())], names=["doc_id", "tk", "n", "set_key", "bands", "sketch"])
 
 
 def _sets(bits):
-    """Sets of the documents whose id may be a candidate's; the bits spare the others the way through the shuffle."""
+    """Sets of the documents whose id may be a candidate's; the bits spare the others the way through the shuffle. Rows
+    without an id share one bit; a task gives each of their sets once, as far as it remembers."""
     def run(batches):
-        shingle = Shingles()
+        shingle, seen = Shingles(), set()
         for batch in batches:
             at = batch["bit"].to_numpy()
             batch = batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             rows = [shingle(t.as_py()).tobytes() for t in batch["text"]]
             digests = [xxhash.xxh3_128_digest(r) for r in rows]
+            if batch["doc_id"].null_count:
+                fresh = []
+                for named, digest in zip(batch["doc_id"].is_valid().to_pylist(), digests):
+                    fresh.append(named or digest not in seen)
+                    if not named:
+                        if len(seen) > REMEMBERED:
+                            seen.clear()
+                        seen.add(digest)
+                batch = batch.filter(pa.array(fresh))
+                rows, digests = list(itertools.compress(rows, fresh)), list(itertools.compress(digests, fresh))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "digest", "shingles"])
     return run
 
@@ -255,18 +266,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full sets. `component_id` is the smallest doc_id reachable over links, and the document that carries it is kept.
 
     Null and empty texts have an empty set, are linked with nothing and kept. A row with a null doc_id has a null
-    component_id, is linked with nothing and kept. Repeated rows get equal results. Of rows that share a doc_id but not
-    their words only those with one of the sets are linked; the others stand alone. Other columns are not read; an empty table gives no
-    rows.
+    component_id, is linked with nothing and kept. Repeated rows get equal results. Rows that share a doc_id but not their
+    words are linked each by its own set. Other columns are not read; an empty table gives no rows.
     """
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    sig = written(d.mapInArrow(_signatures, "doc_id long, n long, set_key binary, bands array<long>, sketch binary"), "near-sig")
+    found = linked_rows(docs, id_col, text_col)
+    alone = F.col("part").isNull() | F.col("doc_id").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nameless: bool = False) -> DataFrame:
+    """One row per input row: doc_id, tk (xxhash64 of the text), n, part, component (smallest doc_id of the part).
+
+    A node is a distinct set, named by a hash of its key; its ids play no role in the links. `part` is null for an empty set
+    and, unless `nameless`, for a row with a null doc_id; with it such rows are linked like others.
+    """
+    text = F.col(f"`{text_col}`")
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), F.coalesce(text, F.lit("")).alias("text"))
+    sig = written(d.mapInArrow(_signatures, "doc_id long, tk long, n long, set_key binary, bands array<long>, sketch binary"), "near-sig")
     total = sig.count()
-    named = sig.filter("n > 0 AND doc_id IS NOT NULL")
-    sets = named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
-                                        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    sets = sets.groupBy("node").agg(F.min(F.struct("set_key", "copies", "n", "bands", "sketch")).alias("s"))
-    nodes = written(sets.select("node", "s.*"), "near-node")
+    linkable = F.lit(True) if nameless else F.col("doc_id").isNotNull()
+    sets = sig.filter("n > 0").filter(linkable).groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
+                                                                       F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = written(sets.select(F.xxhash64("set_key").alias("node"), "set_key", "first_id", "copies", "n", "bands", "sketch"), "near-node")
     n_nodes = nodes.count()
 
     # Bands that more than one node has; the star of each band's first node by hash.
@@ -291,17 +313,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = with_groups(placed, sizes, "cluster", "size", placed.count())
     chunk = F.xxhash64("cluster", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("size") / CHUNK)))
     chunks = narrow(placed.select("node", chunk.alias("chunk")), n_nodes, "near-chunk")
-    # Copies share a node's set, so the row of the node itself gives it; rows with its id but other words give another digest.
-    bit = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(FILTER_BITS))
-    octets = chunks.select(F.pmod(F.xxhash64("node", F.lit(4)), F.lit(FILTER_BITS)).alias("bit"))
+    # Copies share a node's set, so the row with the node's smallest id gives it; rows with that id but other words give another digest.
+    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(4)), F.lit(FILTER_BITS))
+    wanted = narrow(chunks.join(nodes.select("node", "set_key", "first_id"), "node"), n_nodes, "near-wanted")
+    octets = wanted.select(bit("first_id").alias("bit"))
     octets = octets.groupBy(F.shiftright("bit", 5).alias("at")).agg(
         F.expr("bit_or(shiftleft(CAST(1 AS BIGINT), CAST(bit % 32 AS INT)))").alias("v")).collect()  # FILTER_BITS / 32 rows at most
     bits = np.zeros(FILTER_BITS // 32, "<u4")
     bits[[r["at"] for r in octets]] = [r["v"] for r in octets]
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))  # FILTER_BITS / 8 bytes
-    made = d.filter("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).mapInArrow(_sets(shared), "doc_id long, digest binary, shingles binary")
-    wanted = chunks.join(nodes.select("node", "set_key"), "node")
-    full = made.join(wanted, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("set_key"))).select("node", "chunk", "shingles")
+    made = d.filter(linkable).select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(_sets(shared), "doc_id long, digest binary, shingles binary")
+    full = made.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("set_key"))).select("node", "chunk", "shingles")
     full = written(full.dropDuplicates(["node"]), "near-set")
     parts = full.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_chunk_parts, "node long, part long")
     parts = written(parts.repartition(1 + n_nodes // NARROW_ROWS), "near-part")
@@ -312,11 +334,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         merged = components(links)
         parts = narrow(parts.join(merged.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("label", "part").alias("part")), n_nodes, "near-part")
 
-    ends = nodes.join(parts, "node", "left").select("set_key", "copies", "node", F.coalesce("part", "node").alias("component"))
-    out = with_groups(sig.select("doc_id", "n", "set_key"), narrow(ends, n_nodes, "near-end"), "set_key", "copies", total)
-    alone = F.col("component").isNull() | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    ends = narrow(nodes.join(parts, "node", "left").select("set_key", "copies", "first_id", F.coalesce("part", "node").alias("part")), n_nodes, "near-end")
+    ids = ends.groupBy("part").agg(F.min("first_id").alias("smallest"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    ends = with_groups(ends, narrow(ids, n_nodes, "near-id"), "part", "size", n_nodes).select("set_key", "copies", "part", F.coalesce("smallest", "first_id").alias("component"))
+    out = with_groups(sig.select("doc_id", "tk", "n", F.when(linkable, F.col("set_key")).alias("set_key")), narrow(ends, n_nodes, "near-end"), "set_key", "copies", total)
+    return out.select("doc_id", "tk", "n", "part", "component")
 
 
 def _cross(members: DataFrame, chunks: DataFrame, parts: DataFrame, info: DataFrame, n_nodes: int, best_only: bool) -> DataFrame:

@@ -97,3 +97,11 @@ def test_components(spark):
     assert got and all(find(n) == label for n, label in got.items())
     assert set(got) == {x for a, b in edges if a != b for x in (a, b)}
     assert near.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_links(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "abc")
+    for one, two in ((a, b), (b, a)):  # whichever digest is smaller
+        rows = near.near_duplicates(spark.createDataFrame([(5, one), (5, two), (9, two), (12, two + " more"), (20, c), (21, one)], "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(5, 5, True), (5, 5, True), (9, 5, False), (12, 5, False), (20, 20, True), (21, 5, False)]
