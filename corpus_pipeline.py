@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. The stages are judged apart: each one's
 result is written and read again as the next one's documents. All but the last return the columns of `documents`.
-Rows with a null doc_id pass the filters; they cannot be named by a decision.
+A decision names its rows by doc_id (null is a value) and a hash of the text, so rows that share a doc_id, or have none, are
+judged each by its own text.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from tabulens.plans.workspace import written
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is not rejected; a null doc_id is never rejected."""
-    return docs.join(rejected.select(F.col("doc_id").alias("__rejected")).filter("__rejected IS NOT NULL").distinct(), F.col("doc_id") == F.col("__rejected"), "left_anti")
+def _rows(docs: DataFrame, named: DataFrame, how: str) -> DataFrame:
+    """The rows of `docs` that `named` (doc_id, tk) holds (`left_semi`) or does not hold (`left_anti`)."""
+    keys = named.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct()
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tk")), how)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +33,27 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; of rows that repeat it, one."""
-    found = written(near.near_duplicates(docs).filter("doc_id IS NOT NULL"), "stage-near")
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    left = _without(docs, found.filter("NOT kept"))
-    twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(twice.select(*docs.columns))
+    """One document of each group stays, that with the smallest doc_id, one without a doc_id only where the group has no other.
+
+    Of rows with the same doc_id in one group that with the smallest hash of the text stays, of rows equal in both, one.
+    Empty texts are in no group; of those that repeat a doc_id one stays.
+    """
+    found = near.linked_rows(docs, nameless=True)
+    found = written(found.groupBy("doc_id", "tk").agg(F.count(F.lit(1)).alias("n"), F.first("part").alias("part")), "stage-near")
+    grouped = found.filter("part IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tk")).alias("x")
+    stays = grouped.groupBy("part").agg(first).select(F.col("x.doc_id").alias("s_doc"), F.col("x.tk").alias("s_tk"))
+    gone = written(grouped.join(stays, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("tk") == F.col("s_tk")), "left_anti").select("doc_id", "tk"), "stage-gone")
+    again = found.filter("n > 1 AND (part IS NOT NULL OR doc_id IS NOT NULL)")
+    left = _rows(docs, gone, "left_anti")
+    twice = _rows(left, again, "left_semi").withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_hash"])
+    return _rows(left, again, "left_anti").unionByName(twice.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    found = winnowing.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.filter("n_hit > 0"))
+    found = winnowing.contaminated_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _rows(docs, found.filter("n_hit > 0"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

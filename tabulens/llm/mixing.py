@@ -144,11 +144,13 @@ def _cuts(r: DataFrame, plan: DataFrame, total: int) -> DataFrame:
     return written(out.select("source_key", F.col("rows").alias("rows_cut"), F.coalesce(cut, F.lit(0.0)).alias("cut")), "mix-cut")
 
 
-def repeat_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` as often as the mix takes them: `mixed` is `entropy_mix(docs)`, joined by the key.
+def repeat_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs` as often as the mix takes them: `mixed` is `entropy_mix(docs)`.
 
-    Rows of `docs` that share a key share one decision (they draw alike if their sizes agree; else the smaller number).
+    The copies of a row follow from its key, source and size, so these three, null-safe, carry the decision.
     """
-    each = mixed.groupBy(F.col("doc_id").alias("__key")).agg(F.min("copies").alias("__copies")).filter("__copies > 0")
-    out = docs.join(each, F.col(f"`{id_col}`").eqNullSafe(F.col("__key")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__key", "__copies", "__copy")
+    each = mixed.groupBy(F.col("doc_id").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.min("copies").alias("__copies")).filter("__copies > 0")
+    size = F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__key")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source")) & (size == F.col("__size"))
+    out = docs.join(each, same)
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__key", "__source", "__size", "__copies", "__copy")

@@ -65,6 +65,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     out of `items` but its windows count. Repeated rows get equal results. Rows are told apart by doc_id (null is a value)
     and a hash of the text. Other columns are not read; an empty benchmark gives no hits, an empty table no rows.
     """
+    return contaminated_rows(docs, benchmark, window, gram, id_col, text_col, item_col, item_text).drop("tk")
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+                      item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """`contamination` with `tk`, the xxhash64 of the text, which with doc_id tells rows apart."""
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("tk", F.xxhash64("text"))
     wins = written(item_windows(benchmark, window, item_col, item_text), "wins")
     hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
@@ -94,5 +100,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     hits = written(hits.select("at_doc", "at_tk", "items", merged.alias("spans")), "hits")
     covered = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<p:int,e:int>>")), F.lit(0).cast("long"), lambda n, x: n + (x["e"] - x["p"]))
     return marked.join(hits, same, "left").select(
-        "doc_id", "n_words", covered.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        "doc_id", "tk", "n_words", covered.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<p:int,e:int>>")).alias("spans"))

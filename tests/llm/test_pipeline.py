@@ -50,3 +50,35 @@ def test_run_and_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_rows_without_an_id_and_namesakes(spark):
+    """Decisions hold for a row's own text: a null doc_id is judged too, a repeated doc_id does not share its namesake's fate."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sample = docs.first().asDict()
+    words = lambda tag: " ".join(f"{tag}{i * i % 83}" for i in range(40))
+    passage = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text), key=len)
+    make = lambda rows: spark.createDataFrame([dict(sample, doc_id=i, text=t, source=s) for i, t, s in rows], docs.schema)
+    kept = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    stages = dict(corpus_pipeline.STAGES)
+
+    near = [(1, words("a"), "s"), (None, words("a"), "s"), (None, words("b"), "s"), (None, words("b") + " more", "s"), (None, words("b"), "s"), (7, words("c"), "s"),
+            (7, words("d"), "s"), (7, words("d"), "s"), (3, words("c"), "s")]
+    got = kept(stages["near_dedup"](spark, make(near), SF))
+    b = [t for i, t in got if i == "None"]
+    assert len(b) == 1 and b[0] in (words("b"), words("b") + " more")
+    assert [x for x in got if x[0] != "None"] == [("1", words("a")), ("3", words("c")), ("7", words("d"))]
+
+    leaks = [(1, words("a"), "s"), (None, passage, "s"), (None, words("b"), "s"), (2, words("c") + " " + passage, "s"), (2, words("d"), "s")]
+    assert kept(stages["decontaminate"](spark, make(leaks), SF)) == [("1", words("a")), ("2", words("d")), ("None", words("b"))]
+
+    mix = [(None, words("a") + f" {'x ' * i}", f"s{i % 3}") for i in range(30)] + [(4, words("a") + f" {'x ' * i}", f"s{i % 3}") for i in range(30)]
+    mix = make([*mix, (None, None, "s0"), (None, "", "s1")])
+    want = {}
+    for r in mixing.entropy_mix(mix).collect():
+        want[str(r.doc_id), r.source, r.size] = r.copies
+    counts = {}
+    for r in stages["mix_sources"](spark, mix, SF).collect():
+        k = (str(r.doc_id), r.source, len(r.text.split()))
+        counts[k] = counts.get(k, 0) + 1
+    assert counts == {k: n for k, n in want.items() if n} and any(i == "None" for i, _, _ in counts)
