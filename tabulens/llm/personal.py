@@ -268,7 +268,8 @@ def _decoded(crf: Crf, s: str, before: str, after: str):
 
 
 def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_STRETCHES) -> Crf:
-    """Fitted on at most `limit` distinct stretches, those with the smallest hashes, labelled by the plain patterns."""
+    """Fitted on at most `limit` distinct stretches (with context and labels), those with the smallest hashes, labelled by the
+    plain patterns. Copies of a stretch count once."""
     d = docs.filter(F.col(f"`{text_col}`").rlike("[0-9@]"))
     d = (d if learn is None else d.filter(learn)).select(F.col(f"`{text_col}`").alias("text"))
 
@@ -280,10 +281,11 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
                 for at, s, before, after in stretches(text):
                     gold = [x for a, k, b in base if a >= at and b <= at + len(s) for x in (a - at, k, b - at)]
                     rows.append((s, before, after[:1], gold))
-            yield pd.DataFrame(rows, columns=["s", "before", "after", "gold"])
+            # Repeats of a batch go here, the others in the grouping.
+            yield pd.DataFrame(list({(s, x, y, tuple(g)): (s, x, y, g) for s, x, y, g in rows}.values()), columns=["s", "before", "after", "gold"])
 
-    found = d.mapInPandas(sample, "s string, before string, after string, gold array<int>")
-    rows = found.orderBy(F.xxhash64("s", "before"), "s", "before", "after").limit(limit).collect()  # bounded by `limit`
+    found = d.mapInPandas(sample, "s string, before string, after string, gold array<int>").distinct()
+    rows = found.orderBy(F.xxhash64("s", "before"), "s", "before", "after", "gold").limit(limit).collect()  # bounded by `limit`
     return fit_weights([(r.s, r.before, r.after, [tuple(r.gold[i:i + 3]) for i in range(0, len(r.gold), 3)]) for r in rows])
 
 

@@ -88,3 +88,15 @@ def test_whole_table_and_edges(spark):
     assert out == {"1": 0, "2": 0, "None": 1, "3": 1, "4": 0}
     assert personal.find_personal_data(edge.limit(0), crf).count() == 0
     assert personal.find_personal_data(edge, personal.fit(edge.limit(0))).count() == 6
+
+
+def test_fit_sees_distinct_stretches(spark, monkeypatch):
+    """One stretch repeated over FIT_STRETCHES times does not crowd out the others, wherever its hash falls."""
+    monkeypatch.setattr(personal, "fit_weights", lambda samples: samples)
+    few = [f"mail a{i}@b.cd now" for i in range(6)]
+    every = personal.fit(spark.createDataFrame([(t,) for t in few], "text string"))
+    assert len(every) == 6
+    first = next(t for t in few if every[0][0] in t)  # the smallest hash
+    docs = spark.createDataFrame([(t,) for t in few], "text string").unionByName(spark.range(4000).selectExpr(f"'{first}' AS text")).repartition(7)
+    assert sorted(personal.fit(docs)) == sorted(every)
+    assert personal.fit(docs, limit=2) == every[:2]
