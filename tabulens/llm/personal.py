@@ -162,6 +162,10 @@ class Crf:
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.weights = weights
+        self.memo: dict = {}
+
+    def __getstate__(self):
+        return {"weights": self.weights, "memo": {}}  # what was decoded stays in its process
 
     def scores(self, features) -> np.ndarray:
         return sum((self.weights[f] for f in features if f in self.weights), np.zeros(len(KINDS))) + self.weights.get("bias", 0.0)
@@ -254,17 +258,14 @@ def find(text: str, crf: Crf) -> tuple[list, list]:
     return base, more
 
 
-_memo: dict = {}
-
-
 def _decoded(crf: Crf, s: str, before: str, after: str):
-    """Decoded once per stretch and context; the memory is bounded."""
-    key = (s, before, after[:1])
-    if key not in _memo:
-        if len(_memo) > 50_000:
-            _memo.clear()
-        _memo[key] = crf.decode(s, before, after)
-    return _memo[key]
+    """Decoded once per model, stretch and context; the memory is bounded."""
+    key, memo = (s, before, after[:1]), crf.memo
+    if key not in memo:
+        if len(memo) > 50_000:
+            memo.clear()
+        memo[key] = crf.decode(s, before, after)
+    return memo[key]
 
 
 def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_STRETCHES) -> Crf:

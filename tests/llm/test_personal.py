@@ -100,3 +100,14 @@ def test_fit_sees_distinct_stretches(spark, monkeypatch):
     docs = spark.createDataFrame([(t,) for t in few], "text string").unionByName(spark.range(4000).selectExpr(f"'{first}' AS text")).repartition(7)
     assert sorted(personal.fit(docs)) == sorted(every)
     assert personal.fit(docs, limit=2) == every[:2]
+
+
+def test_spans_are_those_of_the_given_model():
+    """A second model in the same process does not get the first one's spans."""
+    text = "the (225) 555-3104 of"
+    _, s, before, after = next(personal.stretches(text))
+    names = {f for _, _, fs in personal.candidates(s, before, after)[1] for f in fs}
+    shy, keen = (personal.Crf({f: np.full(4, w) for f in names} | {"bias": np.full(4, w)}) for w in (-20.0, 20.0))
+    assert personal.find(text, shy)[1] == []
+    fresh = [(a, k, b) for a, k, b, _ in keen.decode(s, before, after)]
+    assert fresh and personal._decoded(keen, s, before, after) == keen.decode(s, before, after)
