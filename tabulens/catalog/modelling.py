@@ -350,16 +350,20 @@ S["feature_importance"] = """SELECT feature, true AS falling, 1.0::DOUBLE AS "su
 
 @query
 def tune_model(spark, sf):
+    """Every model that has a grid, with the score of each point."""
     t = _trained(spark, sf)
-    forest = models.registry(t.train.count())["Random Forest"]
-    grid = models.tuning_grid("Random Forest", forest)
-    return models.tuning_table(spark, grid, models.tune(forest, grid, t.train)[2])
+    pool = models.registry(t.train.count())
+    grids = {name: grid for name, estimator in pool.items() if (grid := models.tuning_grid(name, estimator))}
+    scored = [models.tuning_table(spark, grid, models.tune(pool[name], grid, t.train)[2]).withColumn("model", F.lit(name)) for name, grid in grids.items()]
+    return reduce(DataFrame.unionByName, scored)
 
 
 @query
 def cross_validate(spark, sf):
+    """A row for every model."""
     t = _trained(spark, sf)
-    return models.cross_validate(models.registry(t.train.count())["Decision Tree"], t.train)
+    pool = models.registry(t.train.count())
+    return reduce(DataFrame.unionByName, [models.cross_validate(estimator, t.train).withColumn("model", F.lit(name)) for name, estimator in pool.items()])
 
 
 def _scored(spark, sf):
@@ -367,7 +371,7 @@ def _scored(spark, sf):
     marked = written(marked, "marked")
     train_raw, test = (marked.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
     train, series = engineer_features(train_raw, ORDER, BY, numeric_cols=["value"])
-    t = models.train_supervised(train, "target", "event_id", drop_cols=[*LEAKS, "user_id", "ts", "props"], models=["Decision Tree", "Logistic Regression"])
+    t = models.train_supervised(train, "target", "event_id", drop_cols=[*LEAKS, "user_id", "ts", "props"])
     return test.drop("target"), jobs.score_test(t, test.drop("target"), series, ORDER, BY, "event_id", new_path(spark, "scored"))
 
 
@@ -481,7 +485,7 @@ S["anomaly_job"] = "SELECT event_id, true AS flags_right FROM events"
 @query
 def anomaly_job_supervised(spark, sf):
     df = dirty_events(spark, sf).withColumn("Target", (F.coalesce(F.col("value"), F.lit(0.0)) > 150).cast("int"))
-    tables = jobs.run_anomaly(df, "event_id", ORDER, BY, target="Target", test=table(spark, sf, "events"), tune_models=False, use_smote=True,
+    tables = jobs.run_anomaly(df, "event_id", ORDER, BY, target="Target", test=table(spark, sf, "events"), tune_models=True, use_smote=True,
                               drop_cols=LEAKS, output=new_path(spark, "anomaly"))
     return tables["submission"].select("event_id", F.col("target").isin(0, 1).alias("known_class"))
 
