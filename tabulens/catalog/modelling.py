@@ -277,7 +277,7 @@ def _trained(spark, sf, **options):
     return _done[key]
 
 
-def _judged(spark, t):
+def _judged_models(spark, t):
     """Per model: rows on either side, whether its metrics follow from its predictions on the test rows, and whether its rank follows from F1."""
     board = {r["model"]: r for r in t.board.collect()}
     order = [r["f1"] for r in sorted(board.values(), key=lambda r: r["rank"])]
@@ -307,7 +307,7 @@ def baseline_regress(spark, sf):
 
 @query
 def train_supervised(spark, sf):
-    return _judged(spark, _trained(spark, sf))
+    return _judged_models(spark, _trained(spark, sf))
 
 
 S["train_supervised"] = f"""WITH {SIDES} SELECT model, n_test, n_test AS n_ids, n_train, true AS metrics_right, true AS rank_right, 'Baseline' AS tuning FROM z, (VALUES {NAMES}) m(model)"""
@@ -315,7 +315,7 @@ S["train_supervised"] = f"""WITH {SIDES} SELECT model, n_test, n_test AS n_ids,
 
 @query
 def leaderboard(spark, sf):
-    return _judged(spark, _trained(spark, sf, use_smote=True))
+    return _judged_models(spark, _trained(spark, sf, use_smote=True))
 
 
 S["leaderboard"] = f"""WITH {SIDES} SELECT model, n_test, n_test AS n_ids, n_evened AS n_train, true AS metrics_right, true AS rank_right, 'Baseline' AS tuning FROM z, (VALUES {NAMES}) m(model)"""

@@ -1,5 +1,9 @@
 """Every registered query that has SQL, compared with it on the smallest tables."""
 
+import ast
+from collections import Counter
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -26,3 +30,9 @@ def test_query_matches_sql(spark, con, name):
 
 def test_entry_runs(spark):
     assert entry_module.entry(spark).count() == 4
+
+
+def test_no_module_defines_a_name_twice():
+    for path in (Path(__file__).parent.parent / "tabulens").rglob("*.py"):
+        names = Counter(n.name for n in ast.parse(path.read_text()).body if isinstance(n, (ast.FunctionDef, ast.ClassDef)))
+        assert [n for n, k in names.items() if k > 1] == [], path

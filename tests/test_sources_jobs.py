@@ -31,7 +31,7 @@ def test_json_shapes(spark, tmp_path):
 
 
 def test_refused_inputs(spark, tmp_path):
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="no reader for files"):
         load.load(spark, "x.txt")
     (tmp_path / "one.csv").write_text("a\n1\n")
     (tmp_path / "none.csv").write_text("a,b\n")
@@ -131,6 +131,6 @@ def test_exploration_of_small_and_broken_tables(spark):
     df = spark.createDataFrame([("ann", 30, 100, "F"), ("bob", 41, 120, "M"), ("cid", 35, 90, "M"), ("dee", 28, 95, "F"), ("eve", 50, 300, "F")],
                                "name string, age int, salary int, gender string")
     tables = jobs.run_eda(df, ["name"], "age")
-    assert tables["baseline"].first()["metric"] == "error" and tables["cleaning"].count() == 10
+    assert tables["baseline"].first()["metric"].startswith("error: ValueError") and tables["cleaning"].count() == 10
     with pytest.raises(ValueError, match="empty"):
         jobs.run_eda(df.limit(0), ["name"])
