@@ -35,9 +35,9 @@ def test_refused_inputs(spark, tmp_path):
         load.load(spark, "x.txt")
     (tmp_path / "one.csv").write_text("a\n1\n")
     (tmp_path / "none.csv").write_text("a,b\n")
-    with pytest.raises(ValueError, match="2 columns"):
+    with pytest.raises(ValueError, match="two columns"):
         load.load(spark, str(tmp_path / "one.csv"))
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         load.load(spark, str(tmp_path / "none.csv"))
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         load.load(spark, str(tmp_path / "gone.parquet"))
