@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import credentials, exact, interpolation, language, materialise, mixing, near, personal, tokencounts, winnowing
+from tabulens.llm import credentials, exact, interpolation, language, lexical, materialise, mixing, near, personal, simhash, tokencounts, variants, winnowing
 
 Q, S = {}, {}
 
@@ -122,3 +122,32 @@ links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s A
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id, min(r.b) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id, n.n"""
+
+
+@query
+def op11_simhash(spark, sf):
+    return simhash.simhash_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op12_spelling_variants(spark, sf):
+    return variants.spelling_variants(table(spark, sf, "documents"))
+
+
+@query
+def op13_ranked_search(spark, sf):
+    return lexical.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def _terms_sql(name: str, key: str) -> str:
+    return f"SELECT {key}, unnest(regexp_extract_all({lower_sql('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {name}"
+
+
+S["op13_ranked_search"] = f"""WITH b AS (SELECT doc_id, term, count(*) AS tf FROM ({_terms_sql("documents", "doc_id")}) GROUP BY doc_id, term),
+s AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM b GROUP BY doc_id), g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM s),
+m AS (SELECT doc_id, 100 - 75 + (75 * n * docs) // total AS m FROM s, g),
+i AS (SELECT item_id, term, count(*) AS times FROM ({_terms_sql("benchmark", "item_id")}) GROUP BY item_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM b, g GROUP BY term),
+x AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN w USING (term) JOIN b USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
