@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import os
-
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,21 @@ ROUNDS = 6
 RECORD_END = "\n\n\n\n"
 GPT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as GPT_PATTERN sees it; the pattern's matcher keeps a place on its stack for every character of such a run.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
+
+
+def encoded(enc, text: str) -> list[int]:
+    """The ids of a text under a pattern that takes a run of white space as one piece, but for the last character of a run
+    that is not at the end of the text. Long runs are cut out by that rule and encoded without the pattern."""
+    out, at = [], 0
+    for m in LONG_BLANKS.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += enc.encode_ordinary(text[at:m.start()])
+        out += enc._core_bpe.encode_single_piece(text[m.start():end].encode())
+        at = end
+    return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Byte sequences and their ids from a rank file, read on the driver."""
@@ -70,7 +85,7 @@ def tokenized(docs: DataFrame, ranks: dict[bytes, int], end_id: int, length: int
         for batch in batches:
             firsts, counts, ids = [], [], []
             for text in batch["text"]:
-                found = enc.encode_ordinary(text.as_py())
+                found = encoded(enc, text.as_py())
                 found.append(end_id)
                 n = -(-len(found) // length)
                 firsts.append(first)
@@ -92,8 +107,9 @@ def training_order(docs: DataFrame, ranks: dict[bytes, int], end_id: int, key: i
     Partition k of the result is shard k in slot order. The slots are 0 .. number of sequences - 1, each used once.
 
     Null and empty texts are a document of the end id alone; a null doc_id stays null; repeated rows are sequences of their
-    own. Numbers follow the order in which the input is read: equal files and split sizes give equal slots. Other columns
-    are not read; an empty table gives no rows.
+    own. Numbers follow the order in which the input is read: equal files and split sizes give equal slots. Texts of any
+    length are one document, runs of white space of any length included; a task holds one text at a time. Other columns are
+    not read; an empty table gives no rows.
     """
     t = tokenized(docs, ranks, end_id, length, pattern, id_col, text_col)
     totals = t.groupBy("task").agg(F.sum("n_seq").alias("n"))

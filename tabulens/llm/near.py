@@ -3,8 +3,10 @@
 A document's set holds its distinct shingles. BANDS x ROWS MinHash samples are banded, and the same samples are folded into
 a parity bitmap: two bitmaps' XOR population count estimates the similarity of the sets. Documents with equal sets are one
 node. Nodes that share a band are gathered into chunks of bounded size by the star of each band; full sets decide inside a
-chunk, all at once. Only nodes that are not yet connected are then compared across chunks: every pair in a band whose bitmaps
-agree well enough asks for an exact test of one node against one chunk. Pairs inside connected groups are never written out.
+chunk, all at once. Only nodes that are not yet connected are then compared across chunks, in rounds: each part asks for exact
+tests of its most promising nodes against chunks, first for one, then for more, and parts that turn out linked merge before the
+next round. A part stops when every candidate, a pair in a band whose bitmaps agree well enough, is tested or merged. Pairs inside
+connected groups are never written out.
 
 At similarity 0.75 a pair shares none of the 32 bands of 4 rows with probability 5e-6, and MIN_ESTIMATE is five standard
 deviations of the estimate below.
@@ -12,25 +14,31 @@ deviations of the estimate below.
 
 from __future__ import annotations
 
+import heapq
 import itertools
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.llm.common import with_groups
 from tabulens.llm.interpolation import mix
-from tabulens.plans.workspace import written
+from tabulens.plans.workspace import Scratch, written
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 SKETCH_WORDS = 8
 MIN_ESTIMATE, CLUSTER_ESTIMATE = 0.54, 0.7
 #: Nodes of a chunk, nodes of a band compared in one group, queries of a chunk tested in one group, words a task remembers.
 CHUNK, BLOCK, QUERIES, REMEMBERED = 512, 1000, 2000, 400_000
+#: Each round a part may ask for so many times the tests of the round before.
+WIDER = 8
 #: Narrow rows of one partition of a written step; hot bands that are broadcast, at most; bits of the filter of candidate ids.
 NARROW_ROWS, HOT_BANDS, FILTER_BITS = 500_000, 30_000, 1 << 22
+#: Narrow rows (a few longs) that are broadcast at most, by their count.
+SENT = 400_000
 _seed = np.random.default_rng(20240229)
 FACTORS = _seed.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _seed.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -187,51 +195,56 @@ def _chunk_parts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[[find(i) for i in range(len(nodes))]])], names=["node", "part"])
 
 
-def _asks(batches):
-    """Pairs of a band's nodes from different parts whose sizes and bitmaps allow a link: node, chunk of the other, parts, estimate."""
-    names = ["node", "chunk", "part", "other", "estimate"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-    for t in _runs(batches, ["key", "p", "q"]):
-        part, size, side = t["part"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy()
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
-        node, chunk, same = t["node"].to_numpy(), t["chunk"].to_numpy(), t["p"][0].as_py() == t["q"][0].as_py()
-        # The node of the smaller part asks: few stragglers ask for the chunks of a large part, not its many nodes for theirs.
-        order = np.lexsort((part, t["part_size"].to_numpy()))
-        rank = np.empty(len(node), np.int64)
-        rank[order] = np.cumsum(np.r_[0, part[order][1:] != part[order][:-1]])
-        found = []
-        for i in np.flatnonzero(rank < rank.max()):
-            ok = rank > rank[i]
-            if not same:
-                ok &= side != side[i]
-            ok &= (100 * np.minimum(size, size[i]) >= 75 * np.maximum(size, size[i]))
-            j = np.flatnonzero(ok)
-            if len(j):
-                e = estimated(np.bitwise_count(sketch[j] ^ sketch[i]).sum(1).astype(float))
-                j, e = j[e >= MIN_ESTIMATE], e[e >= MIN_ESTIMATE]
-                if len(j):  # a node asks once for a chunk and part
-                    by = np.lexsort((-e, part[j], chunk[j]))
+def _asks(width: int):
+    """Tests that could connect parts: node, chunk. In each band the smaller of two parts asks, at most `width` tests a part, the
+    most promising first; a node asks a chunk once for all of its members, and never again for a chunk it has been tested with."""
+    def run(batches):
+        for t in _runs(batches, ["key", "p", "q"]):
+            part, size, side = t["part"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy()
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+            node, chunk, same = t["node"].to_numpy(), t["chunk"].to_numpy(), t["p"][0].as_py() == t["q"][0].as_py()
+            done = t["tested"].to_pylist()
+            order = np.lexsort((part, t["part_size"].to_numpy()))
+            rank = np.empty(len(node), np.int64)
+            rank[order] = np.cumsum(np.r_[0, part[order][1:] != part[order][:-1]])
+            asked = {}
+            for i in np.flatnonzero(rank < rank.max()):
+                ok = rank > rank[i]
+                if not same:
+                    ok &= side != side[i]
+                ok &= (100 * np.minimum(size, size[i]) >= 75 * np.maximum(size, size[i]))
+                j = np.flatnonzero(ok)
+                if len(j) and done[i]:
+                    j = j[~np.isin(chunk[j], done[i])]
+                if len(j):
+                    e = estimated(np.bitwise_count(sketch[j] ^ sketch[i]).sum(1).astype(float))
+                    j, e = j[e >= MIN_ESTIMATE], e[e >= MIN_ESTIMATE]
+                    by = np.lexsort((-e, chunk[j]))
                     j, e = j[by], e[by]
-                    first = np.r_[True, (chunk[j][1:] != chunk[j][:-1]) | (part[j][1:] != part[j][:-1])]
-                    found.append(np.array([np.full(first.sum(), node[i]), chunk[j][first], np.full(first.sum(), part[i]), part[j][first], e[first]], dtype=object))
-        if found:
-            cols = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(c.tolist(), t) for c, t in zip(cols, types)], names=names)
+                    first = np.flatnonzero(np.r_[True, chunk[j][1:] != chunk[j][:-1]]) if len(j) else j
+                    asked.setdefault(part[i], []).extend(zip((-e[first]).tolist(), [int(node[i])] * len(first), chunk[j][first].tolist()))
+            found = [x[1:] for tests in asked.values() for x in heapq.nsmallest(width, tests)]
+            if found:
+                nodes, chunks = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(chunks, pa.int64())], names=["node", "chunk"])
+    return run
 
 
 def _answers(batches):
-    """Exact tests of queries against a chunk: node, part of the query, part it is linked with."""
+    """Exact tests of queries against a chunk: part of the query, part it is linked with. Sets and parts are rows of their own."""
     for t in _runs(batches, ["chunk", "salt"]):
-        asked = t["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["shingles"]]
-        part = t["part"].to_numpy()
-        members = np.flatnonzero(~asked)
-        if not len(members) or not asked.any():
+        asked, node = t["asks"].to_numpy(zero_copy_only=False).astype(bool), t["node"].to_numpy()
+        has_set = t["shingles"].is_valid().to_numpy(zero_copy_only=False)
+        part_of = {(a, n): p for a, n, p in zip(asked[~has_set].tolist(), node[~has_set].tolist(), t["part"].filter(pa.array(~has_set)).to_pylist())}
+        members = np.flatnonzero(~asked & has_set)
+        if not len(members):
             continue
-        index = Index([sets[i] for i in members])
+        index = Index([np.frombuffer(t["shingles"][i].as_py(), np.uint64) for i in members.tolist()])
+        part = np.array([part_of[False, n] for n in node[members].tolist()])
         out = set()
-        for i in np.flatnonzero(asked):
-            out.update((int(part[i]), int(p)) for p in np.unique(part[members[index.linked(sets[i])]]) if p != part[i])
+        for i in np.flatnonzero(asked & has_set).tolist():
+            mine = part_of[True, int(node[i])]
+            out.update((mine, int(p)) for p in np.unique(part[index.linked(np.frombuffer(t["shingles"][i].as_py(), np.uint64))]) if p != mine)
         if out:
             a, b = zip(*sorted(out))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -245,17 +258,18 @@ def narrow(df: DataFrame, rows: int, name: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable, for every node of edges(a, b). Labels spread along edges and by pointer
     jumping; every round is written, so that lineage stays short."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "near-edge")
-    rows = both.count()
-    labels = narrow(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), rows, "near-label")
-    while True:
-        spread = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("x")).agg(F.min("label").alias("seen"))
-        step = labels.join(spread, labels["node"] == spread["x"]).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("to"))
-        ends = labels.select(F.col("node").alias("e_node"), F.col("label").alias("e_label"))
-        after = narrow(step.join(ends, step["to"] == ends["e_node"], "left").select("node", "old", F.coalesce("e_label", "to").alias("label")), rows, "near-label")
-        labels = after.select("node", "label")
-        if after.filter("label <> old").isEmpty():
-            return labels
+    with Scratch(edges.sparkSession) as scratch:
+        both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "near-edge")
+        rows = both.count()
+        labels = narrow(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), rows, "near-label")
+        while True:
+            spread = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("x")).agg(F.min("label").alias("seen"))
+            step = labels.join(spread, labels["node"] == spread["x"]).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("to"))
+            ends = labels.select(F.col("node").alias("e_node"), F.col("label").alias("e_label"))
+            after = narrow(step.join(ends, step["to"] == ends["e_node"], "left").select("node", "old", F.coalesce("e_label", "to").alias("label")), rows, "near-label")
+            labels = after.select("node", "label")
+            if after.filter("label <> old").isEmpty():
+                return scratch.keep(after).select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,21 +295,29 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A node is a distinct set, named by a hash of its key; its ids play no role in the links. `part` is null for an empty set
     and, unless `nameless`, for a row with a null doc_id; with it such rows are linked like others.
     """
+    linkable = F.lit(True) if nameless else F.col("doc_id").isNotNull()
+    with Scratch(docs.sparkSession) as scratch:
+        sig, ends = (scratch.keep(t) for t in _labelled(docs, id_col, text_col, linkable))
+    out = with_groups(sig.select("doc_id", "tk", "n", F.when(linkable, F.col("set_key")).alias("set_key")), ends, "set_key", "copies", sig.count())
+    return out.select("doc_id", "tk", "n", "part", "component")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, linkable: Column) -> tuple[DataFrame, DataFrame]:
+    """The signatures (doc_id, tk, n, set_key and more) of all rows, and for every distinct set: set_key, copies, part, component."""
     text = F.col(f"`{text_col}`")
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), F.coalesce(text, F.lit("")).alias("text"))
     sig = written(d.mapInArrow(_signatures, "doc_id long, tk long, n long, set_key binary, bands array<long>, sketch binary"), "near-sig")
-    total = sig.count()
-    linkable = F.lit(True) if nameless else F.col("doc_id").isNotNull()
     sets = sig.filter("n > 0").filter(linkable).groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
                                                                        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = written(sets.select(F.xxhash64("set_key").alias("node"), "set_key", "first_id", "copies", "n", "bands", "sketch"), "near-node")
     n_nodes = nodes.count()
 
-    # Bands that more than one node has; the star of each band's first node by hash.
+    # Bands that more than one node has; the star of each band's first node (node names are hashes).
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
-    keys = narrow(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), first.alias("lead")).filter("members > 1"), n_nodes * BANDS, "near-key")
-    members = narrow(with_groups(banded, keys, "key", "members", n_nodes * BANDS, HOT_BANDS).filter("members IS NOT NULL"), n_nodes * BANDS, "near-member")
+    keys = narrow(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead")).filter("members > 1"), n_nodes * BANDS, "near-key")
+    n_keys = keys.count()
+    found = banded.join(F.broadcast(keys), "key") if n_keys <= SENT else with_groups(banded, keys, "key", "members", n_nodes * BANDS, HOT_BANDS).filter("members IS NOT NULL")
+    members = narrow(found, n_nodes * BANDS, "near-member")
     info = nodes.select("node", "n", "sketch")
     star = members.filter("node <> lead").select("node", "lead").distinct()
     differ = sum(F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(SKETCH_WORDS))
@@ -324,49 +346,67 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))  # FILTER_BITS / 8 bytes
     made = d.filter(linkable).select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(_sets(shared), "doc_id long, digest binary, shingles binary")
     full = made.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("set_key"))).select("node", "chunk", "shingles")
-    full = written(full.dropDuplicates(["node"]), "near-set")
+    full = written(full, "near-set")
+    if full.count() > wanted.count():  # rows that repeat both an id and its words
+        full = written(full.dropDuplicates(["node"]), "near-set")
     parts = full.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_chunk_parts, "node long, part long")
     parts = written(parts.repartition(1 + n_nodes // NARROW_ROWS), "near-part")
 
-    for best_only in (True, False):
-        asks = _cross(members, chunks, parts, info, n_nodes, best_only)
-        links = _tested(asks, full, parts)
-        merged = components(links)
+    # Parts ask for their best tests, answers merge parts, and what is left asks for more, until no test is left that could tell.
+    width, tested = 1, None
+    while True:
+        asks, members = _cross(members, chunks, parts, info, n_nodes, width, tested)
+        if asks.isEmpty():
+            break
+        merged = components(_tested(asks, full, parts.join(chunks, "node")))
         parts = narrow(parts.join(merged.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("label", "part").alias("part")), n_nodes, "near-part")
+        tested = asks if tested is None else narrow(tested.unionByName(asks), n_nodes, "near-tested")
+        width *= WIDER
 
     ends = narrow(nodes.join(parts, "node", "left").select("set_key", "copies", "first_id", F.coalesce("part", "node").alias("part")), n_nodes, "near-end")
     ids = ends.groupBy("part").agg(F.min("first_id").alias("smallest"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    ends = with_groups(ends, narrow(ids, n_nodes, "near-id"), "part", "size", n_nodes).select("set_key", "copies", "part", F.coalesce("smallest", "first_id").alias("component"))
-    out = with_groups(sig.select("doc_id", "tk", "n", F.when(linkable, F.col("set_key")).alias("set_key")), narrow(ends, n_nodes, "near-end"), "set_key", "copies", total)
-    return out.select("doc_id", "tk", "n", "part", "component")
+    ends = with_groups(ends, narrow(ids, n_nodes, "near-id"), "part", "size", n_nodes)
+    return sig, narrow(ends.select("set_key", "copies", "part", F.coalesce("smallest", "first_id").alias("component")), n_nodes, "near-end")
 
 
-def _cross(members: DataFrame, chunks: DataFrame, parts: DataFrame, info: DataFrame, n_nodes: int, best_only: bool) -> DataFrame:
-    """node, chunk: exact tests that could connect parts; with `best_only` one for each pair of parts, the most promising."""
+def _cross(members: DataFrame, chunks: DataFrame, parts: DataFrame, info: DataFrame, n_nodes: int, width: int, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """node, chunk: the next exact tests that could connect parts; and the members of the bands that still hold several parts."""
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("part_size"))
     sized = narrow(with_groups(parts, narrow(sizes, n_nodes, "near-part-size"), "part", "part_size", n_nodes), n_nodes, "near-sized")
-    rows = members.select("key", "node", "members").join(sized, "node")
-    open_keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.first("members").alias("size")).filter("low <> high")
-    open_keys = narrow(open_keys.select("key", "size"), n_nodes, "near-open")
-    rows = with_groups(rows.drop("members"), open_keys, "key", "size", members.count()).filter("size IS NOT NULL")
+    rows = members.select("key", "node").join(sized, "node")
+    open_keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high")
+    open_keys = narrow(open_keys.select("key", "members"), n_nodes, "near-open")
+    still = narrow(with_groups(members.drop("members"), open_keys, "key", "members", members.count()).filter("members IS NOT NULL"), n_nodes * 4, "near-member")
+    rows = still.join(sized, "node").join(info, "node").join(chunks, "node")
+    if tested is None:
+        rows = rows.withColumn("tested", F.array().cast("array<long>"))
+    else:
+        rows = rows.join(tested.groupBy("node").agg(F.collect_set("chunk").alias("tested")), "node", "left")
     # A large band is cut into blocks, and each pair of blocks is a group of its own.
-    blocks = F.ceil(F.col("size") / BLOCK)
+    blocks = F.ceil(F.col("members") / BLOCK)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), blocks)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("key", "node", "part", "part_size", F.least("block", "to").alias("p"), F.greatest("block", "to").alias("q"), F.when(F.col("block") <= F.col("to"), 0).otherwise(1).alias("side"))
-    rows = rows.join(info, "node").join(chunks, "node").select("key", "p", "q", "side", "node", "part", "part_size", "n", "sketch", "chunk")
-    asks = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_asks, "node long, chunk long, part long, other long, estimate double")
-    if best_only:
-        pair = [F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")]
-        asks = asks.groupBy(*pair).agg(F.max_by(F.struct("node", "chunk"), F.struct("estimate", "node", "chunk")).alias("x")).select("x.*")
-    return narrow(asks.select("node", "chunk").distinct(), n_nodes * (1 if best_only else 4), "near-ask")
-
-
-def _tested(asks: DataFrame, full: DataFrame, parts: DataFrame) -> DataFrame:
-    """a, b: parts that an exact test connects. A chunk with many queries is tested in several groups."""
-    counts = asks.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("groups"))
-    every = full.join(parts, "node")
-    query = asks.join(every.drop("chunk"), "node").join(counts, "chunk").select(
-        "chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("groups")).alias("salt"), F.lit(True).alias("asks"), "node", "part", "shingles")
-    member = every.join(counts, "chunk").select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"),
-                                                F.lit(False).alias("asks"), "node", "part", "shingles")
-    return member.unionByName(query).repartition("chunk", "salt").sortWithinPartitions("chunk", "salt", "asks").mapInArrow(_answers, "a long, b long").distinct()
+    rows = rows.select("key", F.least("block", "to").alias("p"), F.greatest("block", "to").alias("q"), F.when(F.col("block") <= F.col("to"), 0).otherwise(1).alias("side"),
+                       "node", "part", "part_size", "n", "sketch", "chunk", "tested")
+    asks = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_asks(width), "node long, chunk long")
+    return narrow(asks.distinct(), n_nodes, "near-ask"), still
+
+
+def _tested(asks: DataFrame, full: DataFrame, placed: DataFrame) -> DataFrame:
+    """a, b: parts that an exact test connects. A chunk with many queries is tested in several groups.
+
+    Sets travel once, straight to the group that compares them; the parts of their nodes come there on rows of their own.
+    """
+    n_asks = asks.count()
+    counts = asks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    salt = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / QUERIES)).alias("salt")
+    asked = written(with_groups(asks, counts, "chunk", "n", n_asks).select("node", "chunk", salt), "near-asked")
+    few = F.broadcast if n_asks <= SENT else lambda df: df
+    groups = few(asked.select("chunk", "salt").distinct())
+    of_asked = few(asked.select("node", F.col("chunk").alias("to"), "salt"))
+    here = lambda df, asks, part, shingles: df.select("chunk", "salt", F.lit(asks).alias("asks"), "node", part, shingles)
+    no_part, no_set = F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("shingles")
+    there = lambda df: df.join(of_asked, "node").withColumn("chunk", F.col("to"))
+    rows = [here(placed.join(groups, "chunk"), False, F.col("part"), no_set), here(there(placed), True, F.col("part"), no_set),
+            here(full.join(groups, "chunk"), False, no_part, F.col("shingles")), here(there(full), True, no_part, F.col("shingles"))]
+    every = reduce(DataFrame.unionByName, rows)
+    return every.repartition("chunk", "salt").sortWithinPartitions("chunk", "salt", "asks").mapInArrow(_answers, "a long, b long").distinct()

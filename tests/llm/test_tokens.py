@@ -120,3 +120,22 @@ def test_shard_files(spark, tmp_path):
     want = {i: t or "" for i, t in EDGE}
     assert texts_back(rows.values(), 64) == want
     assert materialise.training_order(docs.limit(0), ranks, 50256).count() == 0
+
+
+def test_long_blank_runs(monkeypatch):
+    """Cutting runs out gives the ids that the pattern gives, and runs that the pattern can't take are taken."""
+    import random
+    import re
+
+    import tiktoken
+
+    enc = tiktoken.Encoding("t", pat_str=materialise.GPT_PATTERN, mergeable_ranks=materialise.load_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), special_tokens={})
+    whole = re.compile(materialise.LONG_BLANKS.pattern.replace("20000", "3"))
+    monkeypatch.setattr(materialise, "LONG_BLANKS", whole)
+    rng = random.Random(1)
+    for _ in range(400):
+        text = "".join(rng.choice([" ", "  ", " " * 9, "\n", "\t\t", "\u3000", "\x1c", "a", "b's", "12", "é", "."]) for _ in range(rng.randint(0, 30)))
+        assert materialise.encoded(enc, text) == enc.encode_ordinary(text), repr(text)
+    monkeypatch.undo()
+    for text in (" " * 1_000_000, "a" + " \n" * 600_000 + "b", "x" * 300_000):
+        assert enc.decode(materialise.encoded(enc, text)) == text
