@@ -512,6 +512,26 @@ b AS (SELECT CAST(least(floor((value - lo) / width), bins - 1) AS BIGINT) AS bin
 SELECT bin, {r("lo + bin * width")} AS lower, {r("lo + (bin + 1) * width")} AS upper, count, {r("count / (n * width)")} AS density FROM b, w"""
 
 
+DENSITY_POINTS = 60
+
+
+@query
+def density_curve(spark, sf):
+    """The curve of every measure, in shares of its range so that columns of any scale compare."""
+    t = table(spark, sf, "lineitem")
+    span = t.agg(*[(F.max(c) - F.min(c)).alias(c) for c in LINE]).first()
+    found = charts.density_curve(t, LINE, DENSITY_POINTS, cut=1.0)
+    scale = F.element_at(F.create_map(*[F.lit(x) for c in LINE for x in (c, float(span[c]))]), F.col("column"))
+    return rounded(found.select("column", "point", "x", (F.col("density") * scale).alias("density")))
+
+
+S["density_curve"] = union_sql([f"""SELECT * FROM (WITH v AS (SELECT CAST({c} AS DOUBLE) AS v FROM lineitem WHERE {c} IS NOT NULL),
+m AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*), -0.2) AS h FROM v),
+g AS (SELECT CAST(p AS BIGINT) AS point, lo - h + p * (hi - lo + 2 * h) / {DENSITY_POINTS - 1} AS x, n, h, hi - lo AS span FROM m, range({DENSITY_POINTS}) t(p)),
+d AS (SELECT point, any_value(x) AS x, sum(exp(-pow((x - v) / h, 2) / 2)) * any_value(span) / any_value(n) / any_value(h) / sqrt(2 * pi()) AS density FROM g, v GROUP BY point)
+SELECT '{c}' AS "column", point, {r("x")} AS x, {r("density")} AS density FROM d)""" for c in LINE])
+
+
 @query
 def boxplot(spark, sf):
     return rounded(charts.boxplot(table(spark, sf, "lineitem"), LINE))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tabulens.functions.columns import numeric_columns
 from tabulens.ml import models
 from tabulens.ml.unsupervised import consensus_anomaly
 from tabulens.operators import clean, insights, outliers, profile, roles, stats
-from tabulens.operators.charts import boxplot, histogram, pair_bins
+from tabulens.operators.charts import boxplot, density_curve, histograms, pair_bins
 from tabulens.operators.facts import column_facts
 from tabulens.operators.timeseries import SeriesState, engineer_features, feature_inputs, fe_summary
 from tabulens.plans.workspace import rows_frame, written
@@ -27,8 +29,9 @@ def with_row_key(df: DataFrame, name: str = ROW_KEY) -> DataFrame:
     return written(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
 
 
-def describe_tables(df: DataFrame, plots: bool = True, pair_columns: int = PAIR_COLUMNS) -> dict[str, DataFrame]:
-    """Every exploratory section of one frame; facts, quartiles and correlations are computed once and shared.
+def describe_tables(df: DataFrame, plots: bool = True, pair_columns: int = PAIR_COLUMNS, only: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """Every exploratory section of one frame, or those in `only`; facts, quartiles, counts and correlations are computed once,
+    if a section needs them, and shared.
 
     Pair plots show the first `pair_columns` numerical columns.
     """
@@ -36,35 +39,34 @@ def describe_tables(df: DataFrame, plots: bool = True, pair_columns: int = PAIR_
     facts = column_facts(df)
     kinds = roles.infer_roles(df, facts)
     numerical, categorical = roles.with_role(kinds, "numerical"), roles.with_role(kinds, "categorical")
-    numeric = stats.numeric_facts(df, numerical)
-    triangle = written(stats.correlations(df, numerical), "correlations") if len(numerical) > 1 else None
-    counts = written(stats.value_counts(df, categorical), "counts") if categorical else None
-    empty = "column string"
-    tables = {
-        "overview": profile.profile_overview(df),
-        "bytes": profile.profile_bytes(df),
-        "missing": profile.missing_values(df),
-        "duplicates": profile.duplicate_rows(df),
-        "roles": roles.column_roles(df, facts),
-        "quality_issues": profile.quality_issues(df, facts),
-        "numeric_stats": stats.numeric_stats(df, numerical, numeric),
-        "categorical_stats": stats.categorical_stats(df, categorical, counts) if counts is not None else rows_frame(spark, [], empty),
-        "top_values": stats.top_values(df, categorical, counts=counts) if counts is not None else rows_frame(spark, [], empty),
-        "correlations": stats.corr_matrix(df, numerical, triangle),
-        "strong_correlations": stats.strong_corr(df, numerical, triangle=triangle),
-        "outliers": outliers.outlier_summary(df, numerical, numeric),
-        "insights": insights.insights(df, facts, numeric, triangle),
-        "suggestions": insights.suggestions(df, facts, numeric),
+    numeric = cache(lambda: stats.numeric_facts(df, numerical))
+    triangle = cache(lambda: written(stats.correlations(df, numerical), "correlations") if len(numerical) > 1 else None)
+    counts = cache(lambda: written(stats.value_counts(df, categorical), "counts"))
+    none = rows_frame(spark, [], "column string")
+    sections = {
+        "overview": lambda: profile.profile_overview(df),
+        "bytes": lambda: profile.profile_bytes(df),
+        "missing": lambda: profile.missing_values(df),
+        "duplicates": lambda: profile.duplicate_rows(df),
+        "roles": lambda: roles.column_roles(df, facts),
+        "quality_issues": lambda: profile.quality_issues(df, facts),
+        "numeric_stats": lambda: stats.numeric_stats(df, numerical, numeric()),
+        "categorical_stats": lambda: stats.categorical_stats(df, categorical, counts()) if categorical else none,
+        "top_values": lambda: stats.top_values(df, categorical, counts=counts()) if categorical else none,
+        "correlations": lambda: stats.corr_matrix(df, numerical, triangle()),
+        "strong_correlations": lambda: stats.strong_corr(df, numerical, triangle=triangle()),
+        "outliers": lambda: outliers.outlier_summary(df, numerical, numeric()),
+        "insights": lambda: insights.insights(df, facts, numeric(), triangle()),
+        "suggestions": lambda: insights.suggestions(df, facts, numeric()),
     }
-    if plots and numeric:
-        tables["boxplots"] = boxplot(df, list(numeric))
-        parts = [histogram(df, c).withColumn("column", F.lit(c)) for c in numeric]
-        tables["histograms"] = parts[0]
-        for p in parts[1:]:
-            tables["histograms"] = tables["histograms"].unionByName(p)
-        if len(numeric) > 1:
-            tables["pair_bins"] = pair_bins(df, list(numeric)[:pair_columns])
-    return tables
+    if plots and numerical and numeric():
+        drawn = list(numeric())
+        sections["boxplots"] = lambda: boxplot(df, drawn, numeric())
+        sections["histograms"] = lambda: histograms(df, drawn, facts=numeric())
+        sections["densities"] = lambda: density_curve(df, drawn, facts=numeric())
+        if len(drawn) > 1:
+            sections["pair_bins"] = lambda: pair_bins(df, drawn[:pair_columns])
+    return {name: make() for name, make in sections.items() if only is None or name in only}
 
 
 def run_eda(
@@ -146,8 +148,7 @@ def run_anomaly(
             cleaned = written(cleaned, "cleaned")
         except clean.TooFewRows as e:
             tables["cleaning"] = rows_frame(spark, [(0, "Cleaning", False, True, str(e), [str(e)], False)], clean.REPORT_SCHEMA)
-    tables.update({k: v for k, v in describe_tables(cleaned, plots=False).items()
-                   if k in ("roles", "correlations", "outliers", "quality_issues", "insights")})
+    tables.update(describe_tables(cleaned, plots=False, only=("roles", "correlations", "outliers", "quality_issues", "insights")))
     # Neither a label nor what the outlier rule said may reach the features, engineered ones included.
     labels = [c for c in cleaned.columns if c in LABEL_NAMES and c != target]
     left_out = [key, *order_by, *partition_by, *([target] if supervised else []), *labels, "is_outlier"]

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens import fixed_values as fv
 from tabulens.functions.columns import col, number, present, sample_kurtosis, sample_skew
-from tabulens.operators.facts import long_form
 from tabulens.plans.order_stats import exact_quantiles
 from tabulens.plans.workspace import rows_frame
 
-PAIRS_PER_AGGREGATE = 60
-
-
 def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """Count, mean, sample and population std, min, max, corrected skew and kurtosis: one aggregate."""
     if not columns:
@@ -119,25 +117,93 @@ def describe_all(df: DataFrame, numeric: list[str], categorical: list[str]) -> D
     return out.select("column", "count", "unique", "top", "freq", *picked)
 
 
-def _corr(df: DataFrame, x: str, y: str) -> Column:
-    """Pearson r over the rows where both are known; NULL when either side is constant there."""
-    a, b = number(df, x), number(df, y)
-    both = a.isNotNull() & b.isNotNull()
-    a, b = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-
-
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Upper triangle with diagonal: (pos_x, pos_y, col_x, col_y, r), pairwise complete."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        batch = pairs[start : start + PAIRS_PER_AGGREGATE]
-        row = df.agg(*[_corr(df, columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in batch])
-        parts.append(long_form(row, [
-            F.struct(F.lit(i).alias("pos_x"), F.lit(j).alias("pos_y"), F.lit(columns[i]).alias("col_x"),
-                     F.lit(columns[j]).alias("col_y"), F.col(f"r{i}_{j}").alias("r")) for i, j in batch]))
-    return reduce(DataFrame.unionByName, parts)
+    """Upper triangle with diagonal: (pos_x, pos_y, col_x, col_y, r), pairwise complete, of any number of columns in one scan.
+
+    r is NULL where either side is constant over the rows in which both are known. Every task adds up blocked Gram matrices of
+    its rows, of values and of masks of what is known, and gives each block's counts, means and centred sums away; blocks
+    of one place are merged one after the other, so that no task holds more than its own matrices and one block.
+    """
+    values = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    blocks = values.mapInArrow(_gram_blocks, "bx int, by int, sums binary")
+    merged = blocks.repartition("bx", "by").sortWithinPartitions("bx", "by").mapInArrow(_merged_blocks(len(columns)), "pos_x int, pos_y int, r double")
+    names = rows_frame(df.sparkSession, list(enumerate(columns)), "pos int, name string")  # a row per column
+    x = names.select(F.col("pos").alias("pos_x"), F.col("name").alias("col_x"), F.explode(F.sequence("pos", F.lit(len(columns) - 1))).alias("pos_y"))
+    every = x.join(F.broadcast(names.select(F.col("pos").alias("pos_y"), F.col("name").alias("col_y"))), "pos_y")
+    return every.join(merged, ["pos_x", "pos_y"], "left").select("pos_x", "pos_y", "col_x", "col_y", "r")
+
+
+#: Columns on a side of a block. Centred sums below this share of the raw ones are rounding of a constant.
+BLOCK_COLUMNS, ROUNDING = 64, 1e-13
+
+
+def _gram_blocks(batches):
+    """Per pair of columns, over the rows of this task where both are known: count, means and centred sums of squares and products."""
+    shift = fixed = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns])
+        known = ~np.isnan(x)
+        if shift is None:
+            width = x.shape[1]
+            shift, fixed = np.zeros(width), np.zeros(width, bool)
+            n, sx, sxx, sxy = np.zeros((4, width, width))
+        new = known.any(axis=0) & ~fixed  # a column's first value is its origin: constants become exact zeros
+        shift[new] = x[known.argmax(axis=0)[new], new]
+        fixed |= new
+        d, m = np.where(known, x - shift, 0.0), known.astype(float)
+        n, sx, sxx, sxy = n + m.T @ m, sx + d.T @ m, sxx + (d * d).T @ m, sxy + d.T @ d
+    if shift is None:
+        return
+    some = np.maximum(n, 1)
+    mean = sx / some
+    cxx = sxx - sx * mean
+    cxx[cxx <= ROUNDING * sxx] = 0.0
+    sums = np.array([n, shift[:, None] + mean, shift[None, :] + mean.T, cxx, cxx.T, sxy - sx * mean.T])
+    for bx in range(0, len(shift), BLOCK_COLUMNS):
+        at, cells = [], []
+        for by in range(bx, len(shift), BLOCK_COLUMNS):
+            at.append(by // BLOCK_COLUMNS)
+            cells.append(np.ascontiguousarray(sums[:, bx:bx + BLOCK_COLUMNS, by:by + BLOCK_COLUMNS]).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([bx // BLOCK_COLUMNS] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(cells, pa.binary())], names=["bx", "by", "sums"])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts, means and centred sums of two sets of rows taken together."""
+    n = a[0] + b[0]
+    some = np.maximum(n, 1)
+    dx, dy = (np.where(a[0] * b[0] > 0, b[k] - a[k], 0.0) for k in (1, 2))
+    mean = [np.where(a[0] > 0, a[k], b[k]) + d * b[0] / some for k, d in ((1, dx), (2, dy))]
+    both = a[0] * b[0] / some
+    return np.array([n, *mean, a[3] + b[3] + dx * dx * both, a[4] + b[4] + dy * dy * both, a[5] + b[5] + dx * dy * both])
+
+
+def _merged_blocks(width: int):
+    def rows(bx, by, sums):
+        n, _, _, cxx, cyy, cxy = sums
+        i, j = np.nonzero(np.ones_like(n))
+        x, y = i + bx * BLOCK_COLUMNS, j + by * BLOCK_COLUMNS
+        scale = np.sqrt(cxx[i, j]) * np.sqrt(cyy[i, j])
+        keep = (x <= y) & (scale > 0)
+        x, y, r = x[keep], y[keep], cxy[i, j][keep] / scale[keep]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(r)], names=["pos_x", "pos_y", "r"])
+
+    def run(batches):
+        at = held = None
+        for batch in batches:
+            for bx, by, raw in zip(*(batch[c].to_pylist() for c in ("bx", "by", "sums"))):
+                shape = (6, min(BLOCK_COLUMNS, width - bx * BLOCK_COLUMNS), min(BLOCK_COLUMNS, width - by * BLOCK_COLUMNS))
+                sums = np.frombuffer(raw).reshape(shape)
+                if (bx, by) == at:
+                    held = _merged(held, sums)
+                    continue
+                if at is not None:
+                    yield rows(*at, held)
+                at, held = (bx, by), sums
+        if at is not None:
+            yield rows(*at, held)
+    return run
 
 
 def corr_matrix(df: DataFrame, columns: list[str], triangle: DataFrame | None = None) -> DataFrame:
