@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A group with more than one in HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such groups.
 HOT_SHARE = 1000
+#: Longs of a broadcast bitmap of keys, at most (a power of two).
+FILTER_SLOTS = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,6 +40,21 @@ def with_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: i
     return done.unionByName(rest)
 
 
+def may_hold(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, count: int) -> DataFrame:
+    """`rows` with `__may`: false where no row of `wanted` (about `count` of them) has the row's key, which is a long.
+
+    A bitmap of at most FILTER_SLOTS longs is broadcast, whatever the number of keys; where it fills up, more rows say true.
+    So wide rows that a join would drop don't travel to it.
+    """
+    slots = min(FILTER_SLOTS, 1 << max(10, (count // 8).bit_length()))
+    place, bit = lambda k: F.pmod(k, F.lit(slots)), lambda k: F.pmod(F.shiftrightunsigned(F.xxhash64(k), 20), F.lit(64)).cast("int")
+    table = wanted.select(place(wanted_key).alias("__place"), bit(wanted_key).alias("__bit")).groupBy("__place").agg(
+        F.expr("bit_or(shiftleft(CAST(1 AS BIGINT), __bit))").alias("__bits"))
+    keyed = rows.withColumn("__key", key).withColumn("__place", place(F.col("__key")))
+    found = keyed.join(F.broadcast(table), "__place", "left")
+    return found.withColumn("__may", F.coalesce(F.getbit("__bits", bit(F.col("__key"))) == 1, F.lit(False))).drop("__key", "__place", "__bits")
+
+
 def uniform(*cols: Column) -> Column:
     """A reproducible value in (0, 1) from the hash of the columns."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(2**53))

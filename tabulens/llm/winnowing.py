@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import ascii_lower
+from tabulens.llm.common import ascii_lower, may_hold
 from tabulens.plans.workspace import written
 
 WINDOW = 10
@@ -86,7 +86,9 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     # Extension: the windows of a document that have a found fingerprint are compared word by word with the benchmark's.
     same = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("tk") == F.col("at_tk"))
-    held = d.join(places, same).select("doc_id", "tk", words_of(F.col("text")).alias("w"), "found").withColumn("h", hashes(F.col("w")))
+    row = lambda doc, tk: F.xxhash64(F.lit("row"), doc, tk)
+    near = may_hold(d, row("doc_id", "tk"), places, row("at_doc", "at_tk"), places.count()).filter("__may")
+    held = near.join(places, same).select("doc_id", "tk", words_of(F.col("text")).alias("w"), "found").withColumn("h", hashes(F.col("w")))
     starts = lambda n, k: F.filter(F.transform(minima(F.col("h"), n, k), lambda m, i: F.when(
         F.array_contains("found", F.struct(F.lit(n).alias("n"), m.alias("g"))), F.struct(i.alias("p"), F.lit(n).alias("n")))), lambda x: x.isNotNull())
     tries = held.select("doc_id", "tk", "w", F.explode(F.flatten(F.array(*[starts(n, k) for n, k in lengths])) if lengths else F.array().cast("array<struct<p:int,n:int>>")).alias("at"))

@@ -83,11 +83,25 @@ def test_mix_meets_targets(spark):
 def test_mix_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     check_mix(mixing.entropy_mix(docs).collect())
-    again = mixing.repeat_copies(docs, mixing.entropy_mix(docs))
+    again = mixing.repeat_copies(docs, mixing.mix_plan(docs)[1])
     assert again.columns == docs.columns
     assert again.count() == mixing.entropy_mix(docs).agg(F.sum("copies")).first()[0]
 
 
+def test_mix_splits_ties(spark):
+    """Rows alike in id, source and text are not taken all or none; what is repeated is what the mix says."""
+    rows = [(None, "one two three four five six", "a")] * 50 + [(7, "x y z", "a")] * 9 + [(i, "b " * (5 + i % 7), "b") for i in range(20)] + [(None, None, "a"), (8, "", "b"), (8, "", "b")]
+    df = spark.createDataFrame([(i, t, s, "x", 1) for i, t, s in rows], "doc_id long, text string, source string, tie string, cut int").repartition(6)
+    found, facts = mixing.mix_plan(df)
+    check_mix(found.collect())
+    again = mixing.repeat_copies(df, facts)
+    assert again.columns == df.columns
+    count = lambda pairs: sorted((k, sum(n for x, n in pairs if x == k)) for k in {x for x, n in pairs if n})
+    want = count([((str(r.doc_id), r.source, r.size), r.copies) for r in found.collect()])
+    assert count([((str(r.doc_id), r.source, len((r.text or "").split())), 1) for r in again.collect()]) == want
+    assert {r.tie for r in again.collect()} == {"x"}
+
+
 def contaminated(spark, docs, items):
     got = winnowing.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = brute.contamination(docs, items)
