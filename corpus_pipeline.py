@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens.llm import language, materialise, mixing, near, winnowing
-from tabulens.plans.workspace import written
+from tabulens.plans.workspace import Scratch, written
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -28,8 +28,8 @@ def _rows(docs: DataFrame, named: DataFrame, how: str) -> DataFrame:
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (`und`: null text or no letter) go. The model learns from the labelled documents."""
     model = language.fit(docs, F.lit(True))
-    found = language.identify_languages(docs.withColumns({"__text": F.col("text")}), model, text_col="__text")
-    return found.filter(F.col("lang_pred") != "und").select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("__text"))
+    return language.identify_languages(whole, model, text_col="__text").filter(F.col("lang_pred") != "und").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,27 +38,32 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows with the same doc_id in one group that with the smallest hash of the text stays, of rows equal in both, one.
     Empty texts are in no group; of those that repeat a doc_id one stays.
     """
-    found = near.linked_rows(docs, nameless=True)
-    found = written(found.groupBy("doc_id", "tk").agg(F.count(F.lit(1)).alias("n"), F.first("part").alias("part")), "stage-near")
-    grouped = found.filter("part IS NOT NULL")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tk")).alias("x")
-    stays = grouped.groupBy("part").agg(first).select(F.col("x.doc_id").alias("s_doc"), F.col("x.tk").alias("s_tk"))
-    gone = written(grouped.join(stays, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("tk") == F.col("s_tk")), "left_anti").select("doc_id", "tk"), "stage-gone")
-    again = found.filter("n > 1 AND (part IS NOT NULL OR doc_id IS NOT NULL)")
+    with Scratch(spark) as scratch:
+        found = near.linked_rows(docs, nameless=True)
+        found = written(found.groupBy("doc_id", "tk").agg(F.count(F.lit(1)).alias("n"), F.first("part").alias("part")), "stage-near")
+        grouped = found.filter("part IS NOT NULL")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tk")).alias("x")
+        stays = grouped.groupBy("part").agg(first).select(F.col("x.doc_id").alias("s_doc"), F.col("x.tk").alias("s_tk"))
+        gone = scratch.keep(written(grouped.join(stays, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("tk") == F.col("s_tk")), "left_anti").select("doc_id", "tk"), "stage-gone"))
+        again = scratch.keep(written(found.filter("n > 1 AND (part IS NOT NULL OR doc_id IS NOT NULL)").select("doc_id", "tk"), "stage-again"))
     left = _rows(docs, gone, "left_anti")
+    if again.isEmpty():
+        return left
     twice = _rows(left, again, "left_semi").withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_hash"])
     return _rows(left, again, "left_anti").unionByName(twice.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    found = winnowing.contaminated_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _rows(docs, found.filter("n_hit > 0"), "left_anti")
+    with Scratch(spark) as scratch:
+        found = winnowing.contaminated_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        gone = scratch.keep(written(found.filter("n_hit > 0").select("doc_id", "tk"), "stage-leak"))
+    return _rows(docs, gone, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are repeated or left out so that sources reach their target weights."""
-    return mixing.repeat_copies(docs, mixing.entropy_mix(docs)).select(*docs.columns)
+    return mixing.repeat_copies(docs, mixing.mix_plan(docs)[1])
 
 
 def order_for_training(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
