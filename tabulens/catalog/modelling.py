@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulens import fixed_values as fv
 from tabulens import jobs
 from tabulens.catalog.cleaning import BY, DEDUP, ORDER, PARTS
 from tabulens.catalog.tables import dirty_events, hash_sql, r, rounded, table, union_sql, unit_sql
@@ -354,7 +355,8 @@ def tune_model(spark, sf):
     t = _trained(spark, sf)
     pool = models.registry(t.train.count())
     grids = {name: grid for name, estimator in pool.items() if (grid := models.tuning_grid(name, estimator))}
-    scored = [models.tuning_table(spark, grid, models.tune(pool[name], grid, t.train)[2]).withColumn("model", F.lit(name)) for name, grid in grids.items()]
+    folded = models.folded_for(t.train, fv.TUNING_FOLDS)
+    scored = [models.tuning_table(spark, grid, models.tune(pool[name], grid, t.train, folded=folded)[2]).withColumn("model", F.lit(name)) for name, grid in grids.items()]
     return reduce(DataFrame.unionByName, scored)
 
 
@@ -363,7 +365,8 @@ def cross_validate(spark, sf):
     """A row for every model."""
     t = _trained(spark, sf)
     pool = models.registry(t.train.count())
-    return reduce(DataFrame.unionByName, [models.cross_validate(estimator, t.train).withColumn("model", F.lit(name)) for name, estimator in pool.items()])
+    folded = models.folded_for(t.train, fv.CV_FOLDS)
+    return reduce(DataFrame.unionByName, [models.cross_validate(estimator, t.train, folded=folded).withColumn("model", F.lit(name)) for name, estimator in pool.items()])
 
 
 def _scored(spark, sf):

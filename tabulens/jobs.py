@@ -171,7 +171,7 @@ def run_anomaly(
         return tables
     best = trained.results[trained.best]
     tables["importances"] = models.importance_table(spark, best["fi"])
-    estimator = models.registry(trained.train.count(), len(trained.classes) == 2, rounds)[trained.best]
+    estimator = models.registry(trained.train.count(), len(trained.classes), rounds)[trained.best]
     tables["cross_validation"] = models.cross_validate(models.with_params(estimator, best["params"]), trained.train)
     if output:
         trained.save(spark, output, series)

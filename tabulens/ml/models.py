@@ -9,23 +9,23 @@ from functools import reduce
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LinearSVCModel,
     LogisticRegression,
     OneVsRest,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens import fixed_values as fv
 from tabulens.functions.columns import col, row_number_of
+from tabulens.ml.boosting import Boosting, BoostingModel, fold_counts
 from tabulens.ml.kernel import fourier_features
 from tabulens.ml.metrics import METRICS, cells_of, leaderboard, metrics_of, regression_values
 from tabulens.ml.neighbours import knn_classify, smote
@@ -101,15 +101,8 @@ def _margin(df: DataFrame) -> DataFrame:
 
 # Registry -------------------------------------------------------------------------------------------------------
 
-def _boosting(rounds, depth, step, weight, binary, **more):
-    gbt = GBTClassifier(labelCol=Y, featuresCol=X, maxIter=rounds, maxDepth=depth, stepSize=step, seed=fv.SEED, **more)
-    if weight:
-        gbt.setWeightCol(weight)
-    return gbt if binary else OneVsRest(classifier=gbt, labelCol=Y, featuresCol=X, **({"weightCol": weight} if weight else {}))
-
-
-def registry(rows: int, binary: bool = True, rounds: int = fv.ENSEMBLE_ROUNDS, full_depth: int = FULL_DEPTH) -> dict:
-    """Name -> estimator. The two kernel/neighbour models are built by their own classes.
+def registry(rows: int, classes: int = 2, rounds: int = fv.ENSEMBLE_ROUNDS, full_depth: int = FULL_DEPTH) -> dict:
+    """Name -> estimator. The kernel, neighbour and boosted models are built by their own classes.
 
     `full_depth` limits the trees of the forest, which otherwise grow until pure.
     """
@@ -121,10 +114,10 @@ def registry(rows: int, binary: bool = True, rounds: int = fv.ENSEMBLE_ROUNDS, f
         "SVM (RBF)": KernelModel,
         "Random Forest": RandomForestClassifier(labelCol=Y, featuresCol=X, weightCol=WEIGHT, numTrees=rounds, maxDepth=full_depth,
                                                 maxMemoryInMB=NODE_MEMORY_MB, seed=fv.SEED),
-        "Gradient Boosting": _boosting(rounds, 3, 0.1, None, binary),
-        "XGBoost": _boosting(rounds, 6, 0.3, POSITIVE_WEIGHT, binary),
-        "LightGBM": _boosting(rounds, LEAF_DEPTH[31], 0.1, WEIGHT, binary),
-        "CatBoost": _boosting(rounds, 6, 0.1, WEIGHT, binary, subsamplingRate=0.8),
+        "Gradient Boosting": Boosting(rounds, 3, 0.1, None, 1.0, classes),
+        "XGBoost": Boosting(rounds, 6, 0.3, POSITIVE_WEIGHT, 1.0, classes),
+        "LightGBM": Boosting(rounds, LEAF_DEPTH[31], 0.1, WEIGHT, 1.0, classes),
+        "CatBoost": Boosting(rounds, 6, 0.1, WEIGHT, 0.8, classes),
     }
 
 
@@ -133,40 +126,88 @@ def registry_names() -> list[str]:
 
 
 def tuning_grid(name: str, estimator) -> list | None:
-    """Two values of two parameters for the ensemble models."""
-    grid = ParamGridBuilder()
+    """Two values of two parameters for the ensemble models: points by Spark parameter, or by name for boosted models."""
     if name == "Random Forest":
-        return grid.addGrid(estimator.numTrees, [100, 200]).addGrid(estimator.maxDepth, [estimator.getMaxDepth(), 10]).build()
-    if isinstance(estimator, OneVsRest):  # the grid is over the model of one class; a copy of the whole takes it along
-        estimator = estimator.getClassifier()
-    if not isinstance(estimator, GBTClassifier):
+        return ParamGridBuilder().addGrid(estimator.numTrees, [100, 200]).addGrid(estimator.maxDepth, [estimator.getMaxDepth(), 10]).build()
+    if not isinstance(estimator, Boosting):
         return None
-    grid = grid.addGrid(estimator.maxIter, [100, 150])
-    if name == "LightGBM":
-        return grid.addGrid(estimator.maxDepth, list(LEAF_DEPTH.values())).build()
-    return grid.addGrid(estimator.stepSize, [0.05, 0.1]).build()
+    other, values = ("depth", list(LEAF_DEPTH.values())) if name == "LightGBM" else ("step", [0.05, 0.1])
+    return [{"rounds": r, other: v} for r in (100, 150) for v in values]
+
+
+def named_point(point: dict) -> dict:
+    return {getattr(p, "name", p): v for p, v in point.items()}
+
+
+def folded_for(train: DataFrame, folds: int) -> DataFrame:
+    """The rows with their fold, written once for all models that are compared on them."""
+    return written_for_fitting(kfold_assign(train, Y, ID, folds), train.count(), "folds")
+
 
+def tune(estimator, grid: list, train: DataFrame, folds: int = fv.TUNING_FOLDS, parallelism: int = 4, folded: DataFrame | None = None):
+    """Grid search by weighted F1 over hash folds -> (best model, chosen parameters, mean score per grid point).
+
+    Points that differ only in the number of trees share one fit of the most trees. `folded` is `folded_for(train, folds)`
+    where the caller has it already.
+    """
+    scores = grid_scores(estimator, grid, folded_for(train, folds) if folded is None else folded, folds, parallelism)
+    best = max(range(len(grid)), key=lambda i: scores[i])
+    params = named_point(grid[best])
+    return with_params(estimator, params).fit(train), params, scores
+
+
+def grid_scores(estimator, grid: list, folded: DataFrame, folds: int, parallelism: int = 4) -> list[float]:
+    """Mean weighted F1 of every grid point over the folds."""
+    if isinstance(estimator, Boosting):
+        counts = fold_counts(folded, [estimator.with_params(named_point(p)) for p in grid], folds)
+        f1 = {key: metrics_of(cells, "weighted")["f1"] for key, cells in counts.items()}
+    else:
+        f1 = _forest_scores(estimator, [named_point(p) for p in grid], folded, folds, parallelism)
+    return [sum(v for (point, _), v in f1.items() if point == i) / folds for i in range(len(grid))]
+
+
+def _forest_scores(estimator, grid: list[dict], folded: DataFrame, folds: int, parallelism: int) -> dict:
+    """(point, fold) -> weighted F1. The trees of a forest are drawn one like the other, so the first of many are a forest of fewer."""
+    alike = {}
+    for i, point in enumerate(grid):
+        alike.setdefault(tuple(sorted((k, v) for k, v in point.items() if k != "numTrees")), []).append(i)
+
+    def run(job):
+        (rest, points), k = job
+        most = max(grid[i]["numTrees"] for i in points)
+        model = with_params(estimator, dict(rest) | {"numTrees": most}).fit(folded.filter(F.col("fold") != k))
+        held = folded.filter(F.col("fold") == k)
+        return {(i, k): metrics_of(cells_of(first_trees(model, grid[i]["numTrees"]).transform(held), Y, "prediction"), "weighted")["f1"] for i in points}
+
+    with ThreadPoolExecutor(parallelism) as threads:
+        return dict(kv for part in threads.map(run, [(a, k) for a in alike.items() for k in range(folds)]) for kv in part.items())
 
-def tune(estimator, grid: list, train: DataFrame, folds: int = fv.TUNING_FOLDS, parallelism: int = 4):
-    """Grid search by weighted F1 over hash folds -> (best model, chosen parameters, mean score per grid point)."""
-    folded = written_for_fitting(kfold_assign(train, Y, ID, folds), train.count(), "folds")
-    judge = MulticlassClassificationEvaluator(labelCol=Y, predictionCol="prediction", metricName="f1")
-    fitted = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold",
-                            parallelism=parallelism).fit(folded)
-    best = max(range(len(grid)), key=lambda i: fitted.avgMetrics[i])
-    return fitted.bestModel, {p.name: v for p, v in grid[best].items()}, list(fitted.avgMetrics)
+
+def first_trees(model, n: int):
+    """The forest of a forest's first n trees."""
+    if n >= model.getNumTrees:
+        return model
+    whole, context = model._java_obj, SparkSession.active().sparkContext
+    trees = context._gateway.new_array(context._jvm.org.apache.spark.ml.classification.DecisionTreeClassificationModel, n)
+    for i in range(n):
+        trees[i] = whole.trees()[i]
+    part = context._jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(whole.uid(), trees, whole.numFeatures(), whole.numClasses())
+    part = whole.copyValues(part, whole.extractParamMap())
+    part.set(part.getParam("numTrees"), n)
+    return RandomForestClassificationModel(part)
 
 
 def with_params(estimator, params: dict):
-    """The estimator with a grid point's parameters; for one-against-rest they are those of the model of one class."""
+    """The estimator with a grid point's parameters."""
     if not params:
         return estimator
-    inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
-    return estimator.copy({inner.getParam(name): value for name, value in params.items()})
+    if isinstance(estimator, Boosting):
+        return estimator.with_params(params)
+    return estimator.copy({estimator.getParam(name): value for name, value in params.items()})
 
 
 def tuning_table(spark: SparkSession, grid: list, scores: list[float]) -> DataFrame:
-    rows = [(i, json.dumps({p.name: v for p, v in point.items()}, sort_keys=True), float(s)) for i, (point, s) in enumerate(zip(grid, scores))]
+    rows = [(i, json.dumps(named_point(point), sort_keys=True), float(s)) for i, (point, s) in enumerate(zip(grid, scores))]
     return rows_frame(spark, rows, "point int, params string, f1_weighted double")
 
 
@@ -246,7 +287,12 @@ class Training:
         facts = {"best": self.best, "classes": self.classes, "width": len(self.state.features), "series": vars(series) if series else None}
         spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").text(paths["scoring"])
         model = self.results[self.best]["model"]
-        model.save(paths["model"]) if isinstance(model, (NeighbourModel, KernelModel)) else model.write().overwrite().save(paths["model"])
+        if isinstance(model, BoostingModel):
+            model.save(paths["model"], spark)
+        elif isinstance(model, (NeighbourModel, KernelModel)):
+            model.save(paths["model"])
+        else:
+            model.write().overwrite().save(paths["model"])
         return paths
 
 
@@ -255,6 +301,8 @@ def load_model(spark: SparkSession, name: str, path: str, width: int):
     if name == "K-Nearest Neighbors":
         return NeighbourModel(spark.read.parquet(f"{path}/train"))
     read = DefaultParamsReader.loadParamsInstance
+    if name in ("Gradient Boosting", "XGBoost", "LightGBM", "CatBoost"):
+        return BoostingModel.load(spark, path)
     if name == "SVM (RBF)":
         svm = read(f"{path}/svm", spark)
         return KernelModel(svm, read(f"{path}/scaler", spark) if isinstance(svm, LinearSVCModel) else None, width)
@@ -313,14 +361,15 @@ def train_supervised(
     train = written(train, "train")
     n_train = train.count()
     train = written_for_fitting(with_weights(train), n_train)
-    pool = registry(n_train, len(classes) == 2, rounds, full_depth)
+    pool = registry(n_train, len(classes), rounds, full_depth)
     chosen = {name: est for name, est in pool.items() if models is None or name in models}
+    folded = folded_for(train, fv.TUNING_FOLDS) if tune_models and any(tuning_grid(name, est) for name, est in chosen.items()) else None
 
     def run(item):
         name, estimator = item
         try:
             grid = tuning_grid(name, estimator) if tune_models else None
-            model, params = tune(estimator, grid, train)[:2] if grid else (fit_one(estimator, train), {})
+            model, params = tune(estimator, grid, train, folded=folded)[:2] if grid else (fit_one(estimator, train), {})
             cells = cells_of(model.transform(test), Y, "prediction")
             return name, {"model": model, "params": params, "metrics": metrics_of(cells), "fi": importances(model, state.features)}
         except Exception as e:  # noqa: BLE001
@@ -335,14 +384,20 @@ def train_supervised(
                     {n: r["error"] for n, r in outcomes.items() if "error" in r})
 
 
-def cross_validate(estimator, df: DataFrame, folds: int = fv.CV_FOLDS) -> DataFrame:
+def cross_validate(estimator, df: DataFrame, folds: int = fv.CV_FOLDS, folded: DataFrame | None = None) -> DataFrame:
     """Mean and population deviation over stratified hash folds; weighted precision, recall and F1."""
-    folded = written_for_fitting(kfold_assign(df, Y, ID, folds), df.count(), "folds")
+    folded = folded_for(df, folds) if folded is None else folded
+
     def one(i):
         model = fit_one(estimator, folded.filter(F.col("fold") != i))
         return metrics_of(cells_of(model.transform(folded.filter(F.col("fold") == i)), Y, "prediction"), "weighted")
-    with ThreadPoolExecutor(4) as threads:
-        scores = list(threads.map(one, range(folds)))
+
+    if isinstance(estimator, Boosting):
+        counts = fold_counts(folded, [estimator], folds)
+        scores = [metrics_of(counts.get((0, i), {}), "weighted") for i in range(folds)]
+    else:
+        with ThreadPoolExecutor(4) as threads:
+            scores = list(threads.map(one, range(folds)))
     mean = {m: sum(s[m] for s in scores) / folds for m in METRICS}
     std = {m: (sum((s[m] - mean[m]) ** 2 for s in scores) / folds) ** 0.5 for m in METRICS}
     row = (folds, *[round(v, fv.METRIC_DIGITS) for v in (mean["accuracy"], std["accuracy"], mean["f1"], std["f1"], mean["precision"], mean["recall"])])

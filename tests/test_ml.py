@@ -176,9 +176,12 @@ def test_a_failing_model_is_left_out(spark, monkeypatch):
 def test_tuning_and_cross_validation(spark):
     t = models.train_supervised(training_frame(spark), "y", "id", models=["Decision Tree"])
     gbt = models.registry(100)["LightGBM"]
-    grid = models.ParamGridBuilder().addGrid(gbt.maxIter, [2, 3]).addGrid(gbt.maxDepth, [1, 2]).build()
-    best, params, scores = models.tune(gbt, grid, t.train)
-    assert len(scores) == 4 and set(params) == {"maxIter", "maxDepth"} and max(scores) > 0.7
+    best, params, scores = models.tune(gbt, [{"rounds": r, "depth": d} for r in (2, 3) for d in (1, 2)], t.train)
+    assert len(scores) == 4 and set(params) == {"rounds", "depth"} and max(scores) > 0.7
+    forest = models.registry(100, rounds=3)["Random Forest"]
+    grid = models.ParamGridBuilder().addGrid(forest.numTrees, [2, 4]).addGrid(forest.maxDepth, [2, 3]).build()
+    best, params, scores = models.tune(forest, grid, t.train)
+    assert len(scores) == 4 and set(params) == {"numTrees", "maxDepth"} and max(scores) > 0.7 and best.getNumTrees == params["numTrees"]
     cv = models.cross_validate(models.registry(100)["Decision Tree"], t.train).first()
     assert cv.cv_folds == 5 and 0.7 < cv.cv_f1_mean <= 1 and cv.cv_f1_std >= 0
 

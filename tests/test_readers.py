@@ -134,11 +134,11 @@ def test_baseline_with_dotted_names_and_detection_with_repeated_keys(spark):
 
 
 def test_boosting_grid_with_three_classes(spark):
-    estimator = models.registry(100, binary=False, rounds=5)["Gradient Boosting"]
+    estimator = models.registry(100, classes=3, rounds=5)["Gradient Boosting"]
     grid = models.tuning_grid("Gradient Boosting", estimator)
-    assert len(grid) == 4
-    chosen = models.with_params(estimator, {"maxIter": 7, "stepSize": 0.05})
-    assert chosen.getClassifier().getMaxIter() == 7 and estimator.getClassifier().getMaxIter() == 5
+    assert len(grid) == 4 and len(estimator.fits()) == 3
+    chosen = models.with_params(estimator, {"rounds": 7, "step": 0.05})
+    assert (chosen.rounds, chosen.step, estimator.rounds) == (7, 0.05, 5)
 
 
 def test_splits_of_many_classes_and_a_hot_one(spark):
