@@ -18,11 +18,12 @@ class Asked(Exception):
 def trained(spark, monkeypatch):
     t = SimpleNamespace(train=spark.range(100))
     monkeypatch.setattr(modelling, "_trained", lambda *_, **__: t)
+    monkeypatch.setattr(models, "folded_for", lambda train, folds: train)
     return t
 
 
 def test_tune_model_runs_every_grid(spark, monkeypatch, trained):
-    monkeypatch.setattr(models, "tune", lambda estimator, grid, train: (None, {}, [0.5] * len(grid)))
+    monkeypatch.setattr(models, "tune", lambda estimator, grid, train, folded: (None, {}, [0.5] * len(grid)))
     pool = models.registry(100)
     want = {(name, i) for name, est in pool.items() for i in range(len(models.tuning_grid(name, est) or []))}
     assert len({name for name, _ in want}) == 5
@@ -30,7 +31,7 @@ def test_tune_model_runs_every_grid(spark, monkeypatch, trained):
 
 
 def test_cross_validate_takes_every_model(spark, monkeypatch, trained):
-    monkeypatch.setattr(models, "cross_validate", lambda estimator, df: spark.range(1))
+    monkeypatch.setattr(models, "cross_validate", lambda estimator, df, folded: spark.range(1))
     assert sorted(r.model for r in modelling.cross_validate(spark, SF).collect()) == sorted(models.registry_names())
 
 
