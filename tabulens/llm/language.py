@@ -31,8 +31,8 @@ SMOOTHING = 0.5
 SWITCH = 8.0
 SCRIPT_SHARE = 0.01
 #: Words remembered by a task, and characters of text whose words are labelled together.
-CACHE_WORDS = 300_000
-SLICE_CHARS = 12_000_000
+CACHE_WORDS = 150_000
+SLICE_CHARS = 3_000_000
 BLANK = 32
 OUT = "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 

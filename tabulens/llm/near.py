@@ -32,7 +32,7 @@ SHINGLE, BANDS, ROWS = 5, 32, 4
 SKETCH_WORDS = 8
 MIN_ESTIMATE, CLUSTER_ESTIMATE = 0.54, 0.7
 #: Nodes of a chunk, nodes of a band compared in one group, queries of a chunk tested in one group, words a task remembers.
-CHUNK, BLOCK, QUERIES, REMEMBERED = 512, 1000, 500, 150_000
+CHUNK, BLOCK, QUERIES, REMEMBERED = 512, 1000, 500, 80_000
 #: Each round a part may ask for so many times the tests of the round before.
 WIDER = 8
 #: Narrow rows of one partition of a written step; hot bands that are broadcast, at most; bits of the filter of candidate ids.

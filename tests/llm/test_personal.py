@@ -31,7 +31,7 @@ def test_base_cases(text):
 
 def test_decoding_is_exact():
     rng = np.random.default_rng(3)
-    s, before, after = "(225) 555-3104 12", "call ", " x"
+    s, before, after = "1 (225) 555-3104 12 7", "call ", " x"
     cuts, spans = personal.candidates(s, before, after)
     names = {f for _, _, fs in spans for f in fs}
     crf = personal.Crf({f: rng.normal(size=4) for f in sorted(names)} | {"bias": np.full(4, -1.0)})
@@ -111,3 +111,43 @@ def test_spans_are_those_of_the_given_model():
     assert personal.find(text, shy)[1] == []
     fresh = [(a, k, b) for a, k, b, _ in keen.decode(s, before, after)]
     assert fresh and personal._decoded(keen, s, before, after) == keen.decode(s, before, after)
+
+
+def test_added_spans_on_forms_never_learned():
+    """Precision and recall of what the model adds, on written forms, finds and look-alikes that it has not seen."""
+    import random
+
+    crf, rng = personal.fit_weights([]), random.Random(99)
+    hits = misses = wrong = 0
+    for kind in personal.KINDS:
+        mine = []
+        for _ in range(60):
+            plain = personal._made_up(kind, rng)
+            for form in personal.HELD_OUT[kind]:
+                text, lead = form(plain), rng.choice(["", "the ", "at the end "])
+                base, more = personal.find(lead + text + rng.choice(["", " of"]), crf)
+                want = (len(lead), personal.KINDS.index(kind), len(lead) + len(text))
+                if want not in base:
+                    mine.append(want in more)
+                    wrong += len([x for x in more if x != want])
+        assert sum(mine) / len(mine) >= 0.9, kind
+        hits, misses = hits + sum(mine), misses + len(mine) - sum(mine)
+    for _ in range(30):
+        wrong += sum(len(personal.find(f"see {x} now", crf)[1]) for x in personal._look_alikes(rng))
+    assert hits / (hits + misses) >= 0.9 and hits / (hits + wrong) >= 0.9
+
+
+def test_written_forms():
+    crf = personal.fit_weights([])
+    found = lambda t: [(personal.KINDS[k], t[a:b]) for a, k, b in personal.find(t, crf)[1]]
+    for kind, text in [("phone", "(212) 555-0187"), ("phone", "212-555-0187"), ("card", "4111.1111.1111.1111"), ("email", "john@host"), ("email", "john at host dot com"),
+                       ("ip", "192[.]168[.]1[.]10"), ("email", "bob (at) example (dot) org"), ("ip", "10 dot 0 dot 0 dot 1")]:
+        assert found(text) == [(kind, text)] and found(f"see {text}, then") == [(kind, text)], text
+    assert found("call 2125550187") == [("phone", "2125550187")] and found("order 2125550187") == []
+    for text in ("on 2024-05-17 12:30:45", "1,234,567.89 in all", "4111.1111.1111.1112", "999[.]1[.]300[.]4", "pages 1999-2004", ""):
+        assert found(text) == [], text
+    import time
+    start = time.time()
+    for text in ("9 " * 10_000, "9" * 300_000, "1-" * 10_000, "a at b dot " * 20_000, " at " * 50_000, "@" * 20_000, "[at]" * 30_000):
+        personal.find(text, crf)
+    assert time.time() - start < 60
