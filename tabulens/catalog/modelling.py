@@ -13,6 +13,7 @@ from tabulens.catalog.cleaning import BY, DEDUP, ORDER, PARTS
 from tabulens.catalog.tables import dirty_events, hash_sql, r, rounded, table, union_sql, unit_sql
 from tabulens.ml import metrics, models, neighbours, prep, split, unsupervised
 from tabulens.operators import roles
+from tabulens.operators.charts import density_curve
 from tabulens.operators.timeseries import engineer_features
 from tabulens.plans.workspace import new_path, written
 from tabulens.sources import sinks
@@ -241,18 +242,35 @@ S["knn_classify"] = f"""WITH {NEAR.format(same="")}, k AS (SELECT id, label, cou
 o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, label) AS rn FROM k) SELECT id, CAST(label AS BIGINT) AS prediction, votes FROM o WHERE rn = 1"""
 
 
+#: Cells of an embedding.
+VECTOR_WIDTH = 64
+
+
+@query
+def knn_recall(spark, sf):
+    """Recall of the lists against the exact neighbours for every id divisible by 50, and whether visits keep to their bound."""
+    v = _vectors(spark, sf)
+    asked = v.filter(F.col("id") % 50 == 0)
+    exact = neighbours.knn(asked, v, fv.NEIGHBOURS, skip_self=True)
+    found = neighbours.recall_of(neighbours.knn_lists(asked, v, fv.NEIGHBOURS, skip_self=True), exact)
+    return found.agg(F.count(F.lit(1)).alias("n_queries"), F.sum("n").alias("n_neighbours"), (F.sum("n_found") >= 0.9 * F.sum("n")).alias("recall_reached"))
+
+
+S["knn_recall"] = "SELECT count(*) AS n_queries, CAST(5 * count(*) AS BIGINT) AS n_neighbours, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0"
+
+
 @query
 def smote(spark, sf):
     made = neighbours.smote(_vectors(spark, sf), "label")
-    ends = [F.get("vec", F.lit(i)).alias(f"x{i}") for i in (0, 63)]
-    return rounded(made.select(F.col("label").cast("long"), "base_id", "neighbour_id", "u", *ends))
+    cells = [F.get("vec", F.lit(i)).alias(f"x{i}") for i in range(VECTOR_WIDTH)]
+    return rounded(made.select(F.col("label").cast("long"), "base_id", "neighbour_id", "u", *cells))
 
 
 S["smote"] = f"""WITH {NEAR.format(same=" AND a.label = b.label")}, c AS (SELECT label, count(*) AS m FROM v GROUP BY 1), mx AS (SELECT max(m) AS top FROM c),
 b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place FROM v),
 i AS (SELECT label, m, least(5, m - 1) AS k, unnest(range(top - m)) AS i FROM c, mx WHERE m > 1),
 z AS (SELECT i.label, b.vec_id AS base_id, b.e, {unit_sql("i", 43)} AS u, CAST(floor({unit_sql("i", 42)} * k) + 1 AS BIGINT) AS pick FROM i JOIN b ON b.label = i.label AND b.place = i % m)
-SELECT CAST(z.label AS BIGINT) AS label, base_id, nid AS neighbour_id, {r("u")} AS u, {r("e[1] + u * (ne[1] - e[1])")} AS x0, {r("e[64] + u * (ne[64] - e[64])")} AS x63
+SELECT CAST(z.label AS BIGINT) AS label, base_id, nid AS neighbour_id, {r("u")} AS u, {", ".join(r(f"e[{i + 1}] + u * (ne[{i + 1}] - e[{i + 1}])") + f" AS x{i}" for i in range(VECTOR_WIDTH))}
  FROM z JOIN nn ON nn.id = base_id AND nn.rank = pick"""
 
 
@@ -270,9 +288,17 @@ def _labelled(spark, sf) -> DataFrame:
 _done: dict = {}
 
 
+def _stamp(spark, sf) -> str:
+    """The files of the events and when they were written: another table at the same path is another training."""
+    files = table(spark, sf, "events").inputFiles()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return repr([(f, p.getFileSystem(conf).getFileStatus(p).getModificationTime()) for f, p in zip(files, paths)])
+
+
 def _trained(spark, sf, **options):
-    """All nine models; kept for the queries of one session that look at the same training."""
-    key = (spark.sparkContext.applicationId, sf, repr(sorted(options.items())))
+    """All nine models; kept for the queries of one session that look at the same training of the same files."""
+    key = (spark.sparkContext.applicationId, _stamp(spark, sf), repr(sorted(options.items())))
     if key not in _done:
         _done[key] = models.train_supervised(_labelled(spark, sf), "target", "event_id", drop_cols=[*LEAKS, "user_id", "ts", "props"], **options)
     return _done[key]
@@ -375,23 +401,50 @@ def _scored(spark, sf):
     train_raw, test = (marked.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
     train, series = engineer_features(train_raw, ORDER, BY, numeric_cols=["value"])
     t = models.train_supervised(train, "target", "event_id", drop_cols=[*LEAKS, "user_id", "ts", "props"])
-    return test.drop("target"), jobs.score_test(t, test.drop("target"), series, ORDER, BY, "event_id", new_path(spark, "scored"))
+    folder = new_path(spark, "scored")
+    t.save(spark, folder, series)
+    test = test.drop("target")
+    return test, jobs.score_test(t, test, series, ORDER, BY, "event_id", folder), jobs.score_saved(spark, folder, test, ORDER, BY, "event_id")
+
+
+def _predicted(spark, sf) -> DataFrame:
+    """event_id, target (the class that the saved model gives), live (the class of the model in memory)."""
+    _, live, saved = _scored(spark, sf)
+    return saved["submission"].join(live["submission"].select("event_id", F.col("target").alias("live")), "event_id", "full")
 
 
 @query
 def score_test(spark, sf):
-    """The scored ids: each test row once, with one of the two classes."""
-    found = _scored(spark, sf)[1]["submission"]
-    return found.select("event_id", F.col("target").isin(0, 1).alias("known_class"))
+    """The scored ids: each test row once, one of the two classes, the same from the saved artifacts as from the model in memory."""
+    return _predicted(spark, sf).select("event_id", F.col("target").isin(0, 1).alias("known_class"), F.col("target").eqNullSafe(F.col("live")).alias("same_as_live"))
+
+
+@query
+def score_test_rows(spark, sf):
+    """The classes themselves: what is learned has no SQL."""
+    return _predicted(spark, sf)
+
+
+@query
+def leaderboard_rows(spark, sf):
+    """The board of all nine models with its scores."""
+    return _trained(spark, sf).board
+
+
+@query
+def importance_rows(spark, sf):
+    """Every feature's importance in each model that tells."""
+    parts = [models.importance_table(spark, r["fi"], top=len(r["fi"])).withColumn("model", F.lit(name)) for name, r in _trained(spark, sf).results.items() if r["fi"]]
+    return reduce(DataFrame.unionByName, parts)
 
 
 S["score_test"] = f"""WITH o AS (SELECT event_id, row_number() OVER (ORDER BY {hash_sql("event_id", 42)}, event_id) AS place, count(*) OVER () AS n FROM events)
-SELECT event_id, true AS known_class FROM o WHERE place <= floor(n * 0.2 + 0.5)"""
+SELECT event_id, true AS known_class, true AS same_as_live FROM o WHERE place <= floor(n * 0.2 + 0.5)"""
 
 
 @query
 def validate_submission(spark, sf):
-    test, tables = _scored(spark, sf)
+    test, tables, _ = _scored(spark, sf)
     short = tables["submission"].filter(F.col("event_id") % 2 == 0)
     checks = [("whole", tables["submission_check"]), ("short", sinks.validate_submission(short, test, "target")),
               ("nameless", sinks.validate_submission(short.drop("target"), test, "target"))]
@@ -454,6 +507,14 @@ def score_histogram(spark, sf):
     return metrics.score_histogram(scored, "if_score").agg(F.sum("count").alias("n"), (F.abs(area - 1) < 1e-6).alias("whole"), (F.count_if(F.col("count") > 0) == F.count("*")).alias("no_empty_bin"))
 
 
+@query
+def score_density(spark, sf):
+    """The bins of the scores and their density curve (three bandwidths beyond the ends), as rows."""
+    scored = written(unsupervised.isolation_forest(_engineered(spark, sf), "event_id", ["user_id"]), "scored")
+    bins = metrics.score_histogram(scored, "if_score").select(F.lit("bin").alias("kind"), F.col("lower").alias("x"), "density")
+    return bins.unionByName(density_curve(scored, ["if_score"], cut=3.0).select(F.lit("curve").alias("kind"), "x", "density"))
+
+
 S["score_histogram"] = "SELECT count(*) AS n, true AS whole, true AS no_empty_bin FROM events"
 
 

@@ -1,9 +1,13 @@
-"""Exact nearest neighbours without a cross join, and what is built on them: kNN votes and minority oversampling.
+"""Nearest neighbours without a cross join, and what is built on them: kNN votes and minority oversampling.
 
 Points within `BROADCAST_BYTES` are sent to the tasks that hold the queries. Otherwise the points are grouped around
 pivots into blocks of bounded size; a query visits one block near it to bound its k-th distance, then only the blocks
 whose distance range can still beat that bound. A popular block is copied to several tasks, each with a share of its
 queries, so neither a dense cluster nor a heap of identical rows ends in one task.
+
+On wide vectors distance ranges rule out little, and the exact form visits most blocks. `knn_lists` is the form with a bounded
+number of visits: points lie in the lists of their two nearest centroids, a query looks into the lists of its `probes` nearest ones.
+Its recall is measured by `recall_of` against the exact form for a set of queries.
 """
 
 from __future__ import annotations
@@ -168,6 +172,64 @@ def _scan_blocks(visits, blocked, k, skip_self, with_vectors, block_rows):
     return left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInPandas(scan, PAIR_ROWS)
 
 
+#: Points of a list, lists, points the centroids are found on (smallest hashes first), rounds of finding, lists of a query, at most.
+LIST_ROWS, MAX_LISTS, CENTROID_SAMPLE, CENTROID_ROUNDS, PROBES = 1_000, 16_384, 40_000, 6, 12
+
+
+def centroids(sample: np.ndarray, lists: int) -> np.ndarray:
+    """Centres of the sample by rounds of assigning and averaging, from evenly spread rows of it; empty ones stay where they are."""
+    centre = sample[np.linspace(0, len(sample) - 1, min(lists, len(sample))).astype(int)].copy()
+    for _ in range(CENTROID_ROUNDS):
+        at = np.concatenate([_distances(sample[a:a + 2048], centre).argmin(1) for a in range(0, len(sample), 2048)])
+        n = np.bincount(at, minlength=len(centre))
+        order = np.argsort(at, kind="stable")
+        sums = np.add.reduceat(sample[order], np.r_[0, np.cumsum(n)[:-1]][n > 0], axis=0)
+        centre[n > 0] = sums / n[n > 0][:, None]
+    return centre
+
+
+def knn_lists(queries: DataFrame, points: DataFrame, k: int, skip_self: bool = False, probes: int = PROBES, with_vectors: bool = False, list_rows: int | None = None) -> DataFrame:
+    """(qid, nid, dist, rank[, nvec]) of the k nearest points among the lists that a query visits: at most `probes` of them.
+
+    Every point is in the lists of its two nearest centroids, so visits grow as rows of queries and lists as rows of points;
+    long lists are cut and popular ones copied for shares of their queries. Fewer than k points are found only
+    where the visited lists hold fewer. Ids are unique; ties go to the smaller id; empty frames give no rows.
+    """
+    size = list_rows or LIST_ROWS
+    n = points.count()
+    sample = bounded_sample(points.select("id", "vec"), "id", CENTROID_SAMPLE).toPandas()
+    if sample.empty:
+        return queries.sparkSession.createDataFrame([], PAIR_ROWS + ", rank int")
+    centre = centroids(_matrix(sample["vec"]), max(1, min(MAX_LISTS, math.ceil(n / size))))
+
+    def nearest_lists(many: int):
+        @F.pandas_udf("array<int>")
+        def run(vec: pd.Series) -> pd.Series:
+            d = _distances(_matrix(vec), centre)
+            m = min(many, d.shape[1])
+            return pd.Series(list(np.argpartition(d, m - 1, axis=1)[:, :m].astype("int32")))
+        return run
+
+    listed = written(points.select("id", "vec", F.explode(nearest_lists(2)("vec")).alias("list")), "lists")
+    parts = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(8 * size)).cast("int").alias("parts"))  # a row per list
+    # A list of more than eight times its share is cut into parts; a query visits all of them.
+    cut = F.col("list") + MAX_LISTS * F.pmod(row_hash(F.col("id"), 5), F.col("parts")).cast("int")
+    blocked = written(listed.join(F.broadcast(parts), "list").select("id", "vec", cut.alias("block")), "blocks")
+    visits = queries.select("id", "vec", F.explode(nearest_lists(probes)("vec")).alias("list")).join(F.broadcast(parts), "list")
+    visits = visits.select("id", "vec", F.explode(F.sequence(F.col("list"), F.col("list") + MAX_LISTS * (F.col("parts") - 1), F.lit(MAX_LISTS))).alias("block"))
+    pairs = _scan_blocks(written(visits, "visits"), blocked, k, skip_self, with_vectors, 8 * size)
+    once = pairs.dropDuplicates(["qid", "nid"])
+    w = Window.partitionBy("qid").orderBy("dist", "nid")
+    ranked = once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked if with_vectors else ranked.drop("nvec")
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(qid, n, n_found): exact neighbours of each query, and how many of them were found."""
+    hit = found.select("qid", "nid", F.lit(1).alias("hit"))
+    return exact.select("qid", "nid").join(hit, ["qid", "nid"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("n_found"))
+
+
 def knn_classify(queries: DataFrame, points: DataFrame, labels: DataFrame, k: int = fv.NEIGHBOURS, skip_self: bool = False, **sizes) -> DataFrame:
     """Majority vote of the k nearest: (id, prediction, votes); equal votes go to the smaller label. `labels` is (id, label)."""
     named = knn(queries, points, k, skip_self, **sizes).join(labels.select(F.col("id").alias("nid"), "label"), "nid")

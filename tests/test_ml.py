@@ -198,3 +198,19 @@ def test_baseline(spark):
 def test_vectors_are_dense(spark):
     df = spark.createDataFrame([(Vectors.dense([1.0, 2.0]),)], ["features"])
     assert len(df.first()["features"]) == 2
+
+
+def test_lists_reach_their_recall(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(40, 32)) * 2
+    x = middles[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 32))
+    x[:300] = x[0]  # a heap of equal rows
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>").repartition(6)
+    asked = df.filter("id % 50 = 0")
+    exact = neighbours.knn(asked, df, 5, skip_self=True)
+    found = neighbours.knn_lists(asked, df, 5, skip_self=True, list_rows=100)
+    total = neighbours.recall_of(found, exact).agg(F.sum("n_found") / F.sum("n")).first()[0]
+    assert total >= 0.9 and found.groupBy("qid").count().filter("count <> 5").count() == 0
+    assert found.join(exact, ["qid", "nid"]).filter(F.abs(found["dist"] - exact["dist"]) > 1e-9).count() == 0
+    assert neighbours.knn_lists(asked, df.limit(0), 5).count() == 0 and neighbours.knn_lists(asked.limit(0), df, 5).count() == 0
+    assert neighbours.knn_lists(asked, df.filter("id < 3"), 5).groupBy("qid").count().filter("count <> 3").count() == 0
