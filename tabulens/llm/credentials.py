@@ -18,9 +18,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 BASE = {"assign": (ASSIGN, 2, 8), "access": (r"AKIA[A-Z0-9]+", 0, 16), "hex": (r"[0-9a-f]+", 0, 32)}
 #: Weak parts: pattern and role. A role is reported as a kind of its own, after the plain ones.
 WEAK = {
-    "weak_secret": (r"""(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|credential)["']?\x20*[:=]\x20*["']?[^\s"',;]{4,}|\b[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])""", "secret"),
+    "weak_secret": (r"""(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|credential)["']?\x20*[:=]\x20*["']?[^\s"',;&]{4,}|\b[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])""", "secret"),
     "identifier": (r"""(?i)\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", "identifier"),
-    "endpoint": (r"""(?i)\b(?:[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]{4,}|(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:-]{4,})""", "endpoint"),
+    "endpoint": (r"""(?i)\b(?:[a-z][a-z0-9+.-]{1,20}://[^\s"'<>?]{4,}|(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:-]{4,})""", "endpoint"),
 }
 KINDS = [*BASE, *WEAK]
 ROLE_OF_BASE = {"assign": "secret", "access": "identifier", "hex": "secret"}
@@ -76,7 +76,10 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     """One row per input row: doc_id, base (plain finds), linked (weak parts reported), each an array of (start, rank, end).
 
     `rank` indexes KINDS. Null text counts as empty. Rows are told apart by doc_id (null is a value) and a hash of the
-    text, so repeated rows get equal results. Other columns are not read; an empty table gives no rows.
+    text, so repeated rows get equal results. Matches of one kind don't overlap, those of several kinds may; spans that start
+    together come in the order of KINDS. An endpoint ends before its query, a weak secret before an ampersand, so that the
+    parameters of an address are parts of their own. Texts of any length are read whole. Other columns are not read; an
+    empty table gives no rows.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
