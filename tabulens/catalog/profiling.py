@@ -358,17 +358,17 @@ S["numeric_stats"] = _stats_sql("lineitem", LINE, 4)
 @query
 def describe_all(spark, sf):
     df = table(spark, sf, "orders")
-    return rounded(stats.describe_all(df, ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"]), 4)
+    return rounded(stats.describe_all(df, ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderdate", "o_orderpriority"]), 4)
 
 
 S["describe_all"] = union_sql(
     [f"""SELECT '{c}' AS "column", count({c}) AS count, CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq,
  {r(f"avg({c})", 4)} AS mean, {r(f"stddev_samp({c})", 4)} AS std, {r(f"min({c})", 4)} AS "min", {r(f"quantile_cont({c}, 0.25)", 4)} AS q25,
  {r(f"quantile_cont({c}, 0.5)", 4)} AS median, {r(f"quantile_cont({c}, 0.75)", 4)} AS q75, {r(f"max({c})", 4)} AS "max" FROM orders"""
-     for c in ("o_totalprice", "o_custkey")]
-    + [f"""(WITH v AS (SELECT {c} AS v, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 1)
+     for c in ("o_orderkey", "o_custkey", "o_totalprice")]
+    + [f"""(WITH v AS (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 1)
 SELECT '{c}', (SELECT CAST(sum(n) AS BIGINT) FROM v), (SELECT count(*) FROM v), v, n, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM v ORDER BY n DESC, v LIMIT 1)"""
-       for c in ("o_orderstatus", "o_orderpriority")])
+       for c in ("o_orderstatus", "o_orderdate", "o_orderpriority")])
 
 CATS = [("events", "event_type"), ("orders", "o_orderpriority")]
 COUNTS = 'SELECT \'{c}\' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}'
