@@ -1,13 +1,17 @@
 """Excel workbooks read in parallel: one file per input row, cells out as rows of text with a kind per cell.
 
-A sheet holds at most 1,048,576 rows, so a single workbook is a bounded piece of work for a task.
+A sheet holds at most 1,048,576 rows, so a single workbook is a bounded piece of work for a task. Sheets and shared texts are
+read as events and rows given out PIECE at a time: a task holds the compressed file, the bytes of the distinct texts and one
+piece, however many rows the sheet has.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
+from array import array
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
@@ -22,6 +26,8 @@ NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 # Built-in number formats that show a date or time.
 DATE_FORMAT_IDS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 EPOCH = datetime(1899, 12, 30)
+#: Rows that a task gives out at once.
+PIECE = 2_000
 CELL_SCHEMA = "path string, row_no long, cells array<string>, kinds string"
 
 
@@ -43,18 +49,42 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
     return {i for i, f in enumerate(ids) if f in DATE_FORMAT_IDS or f in custom}
 
 
+def _events(book: zipfile.ZipFile, name: str, tag: str) -> Iterator:
+    """The elements of one tag, each forgotten once it has been looked at, with its empty shell in its parent."""
+    with book.open(name) as source:
+        open_elements = []
+        for event, element in ElementTree.iterparse(source, events=("start", "end")):
+            if event == "start":
+                open_elements.append(element)
+                continue
+            open_elements.pop()
+            if element.tag == NS + tag:
+                yield element
+                if open_elements:
+                    open_elements[-1].clear()
+
+
+class SharedTexts:
+    """The distinct texts of a workbook as one run of bytes and where each ends."""
+
+    def __init__(self, book: zipfile.ZipFile):
+        self.ends, data = array("Q", [0]), bytearray()
+        if "xl/sharedStrings.xml" in book.namelist():
+            for si in _events(book, "xl/sharedStrings.xml", "si"):
+                data += "".join(t.text or "" for t in si.iter(NS + "t")).encode()
+                self.ends.append(len(data))
+        self.data = bytes(data)
+
+    def __getitem__(self, i: int) -> str:
+        return self.data[self.ends[i]:self.ends[i + 1]].decode()
+
+
 def sheet_rows(content: bytes) -> Iterator[tuple[list[str | None], str]]:
     """Rows of the first sheet: cell texts and one kind letter each (n number, d date, b boolean, s text, - empty)."""
     book = zipfile.ZipFile(io.BytesIO(content))
-    shared = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-        shared = ["".join(t.text or "" for t in si.iter(NS + "t")) for si in root.iter(NS + "si")]
-    dates = _date_styles(book)
+    shared, dates = SharedTexts(book), _date_styles(book)
     sheet = sorted(n for n in book.namelist() if re.match(r"xl/worksheets/sheet\d+\.xml$", n))[0]
-    for _, row in ElementTree.iterparse(book.open(sheet)):
-        if row.tag != NS + "row":
-            continue
+    for row in _events(book, sheet, "row"):
         cells, kinds = [], []
         for i, c in enumerate(row.iter(NS + "c")):
             at = column_index(c.get("r")) if c.get("r") else i
@@ -62,10 +92,9 @@ def sheet_rows(content: bytes) -> Iterator[tuple[list[str | None], str]]:
             kinds += ["-"] * (at + 1 - len(kinds))
             cells[at], kinds[at] = _cell(c, shared, dates)
         yield cells, "".join(kinds)
-        row.clear()
 
 
-def _cell(c, shared: list[str], dates: set[int]) -> tuple[str | None, str]:
+def _cell(c, shared: SharedTexts, dates: set[int]) -> tuple[str | None, str]:
     kind, value = c.get("t", "n"), c.find(NS + "v")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in c.iter(NS + "t")), "s"
@@ -83,8 +112,9 @@ def _cell(c, shared: list[str], dates: set[int]) -> tuple[str | None, str]:
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            rows = [(path, i, cells, kinds) for i, (cells, kinds) in enumerate(sheet_rows(content))]
-            yield pd.DataFrame(rows, columns=["path", "row_no", "cells", "kinds"])
+            rows = ((path, i, cells, kinds) for i, (cells, kinds) in enumerate(sheet_rows(content)))
+            while piece := list(itertools.islice(rows, PIECE)):
+                yield pd.DataFrame(piece, columns=["path", "row_no", "cells", "kinds"])
 
 
 def load_xlsx(spark: SparkSession, paths: list[str]) -> DataFrame:
