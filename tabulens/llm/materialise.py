@@ -129,19 +129,26 @@ def training_order(docs: DataFrame, ranks: dict[bytes, int], end_id: int, key: i
             for r, p in zip(row.tolist(), part.tolist()):
                 if r != last:
                     last, ids = r, np.frombuffer(raw[r].as_py(), width)
-                piece = np.full(length, end_id, "<u4")
                 mine = ids[p * length:(p + 1) * length]
-                piece[:len(mine)] = mine
                 used.append(len(mine))
-                records.append(piece.tobytes())
+                records.append(mine.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slot // shard_rows), pa.array(slot), pa.array(slot % shard_rows), batch["doc_id"].take(pa.array(row)), pa.array(part.astype(np.int64)),
                  pa.array(used, pa.int64()), pa.array(records, pa.binary())], names=["shard", "slot", "place", "doc_id", "part", "n_tokens", "record"])
 
+    def filled(batches):
+        """The ids as they travelled, without filling, to whole records."""
+        for batch in batches:
+            records = np.full((batch.num_rows, length), end_id, "<u4")
+            for row, raw in zip(records, batch["record"]):
+                ids = np.frombuffer(raw.as_py(), width)
+                row[:len(ids)] = ids
+            yield batch.set_column(batch.schema.names.index("record"), "record", pa.array([r.tobytes() for r in records], pa.binary()))
+
     rows = t.join(F.broadcast(bases), "task").select("doc_id", "n_seq", "ids", (F.col("base") + F.col("first")).alias("start")).mapInArrow(
         cut, "shard long, slot long, place long, doc_id long, part long, n_tokens long, record binary")
     shards = max(1, -(-total // shard_rows))
-    return rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
+    return rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot").mapInArrow(filled, rows.schema)
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:

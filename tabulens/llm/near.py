@@ -315,8 +315,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, linkable: Column) ->
     # Bands that more than one node has; the star of each band's first node (node names are hashes).
     banded = nodes.select("node", F.explode("bands").alias("key"))
     keys = narrow(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead")).filter("members > 1"), n_nodes * BANDS, "near-key")
-    n_keys = keys.count()
-    found = banded.join(F.broadcast(keys), "key") if n_keys <= SENT else with_groups(banded, keys, "key", "members", n_nodes * BANDS, HOT_BANDS).filter("members IS NOT NULL")
+    # Bands of one node meet nothing: both joins keep members only, so that what they give follows the shared bands.
+    hot = F.col("members") > n_nodes * BANDS / HOT_BANDS
+    found = banded.join(F.broadcast(keys.filter(hot)), "key").unionByName(banded.join(keys.filter(~hot), "key"))
     members = narrow(found, n_nodes * BANDS, "near-member")
     info = nodes.select("node", "n", "sketch")
     star = members.filter("node <> lead").select("node", "lead").distinct()
