@@ -214,3 +214,21 @@ def test_lists_reach_their_recall(spark, monkeypatch):
     assert found.join(exact, ["qid", "nid"]).filter(F.abs(found["dist"] - exact["dist"]) > 1e-9).count() == 0
     assert neighbours.knn_lists(asked, df.limit(0), 5).count() == 0 and neighbours.knn_lists(asked.limit(0), df, 5).count() == 0
     assert neighbours.knn_lists(asked, df.filter("id < 3"), 5).groupBy("qid").count().filter("count <> 3").count() == 0
+
+
+def test_one_class_svm_is_proved_by_its_gap(spark):
+    from tabulens.ml.kernel import fourier_map
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 3))
+    x[:120] += 6
+    x[200:260] = x[200]
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in x], "a double, b double, c double").repartition(5)
+    nu = 0.08
+    fit = unsupervised.fit_one_class(df, ["a", "b", "c"], nu)
+    assert fit.gap <= 1e-3 and fit.passes <= 2 * unsupervised.SVM_STEPS + 1
+    z = fourier_map(3, 1 / 3, 128, 42)(x)
+    margins = z @ fit.weights
+    low = np.sort(margins)[:int(nu * len(x))].mean()
+    assert (fit.weights @ fit.weights - low) / (fit.weights @ fit.weights) <= 1.2e-3  # the gap, computed from all margins
+    assert abs((margins < np.quantile(margins, nu)).mean() - nu) < 0.01
+    assert unsupervised.fit_one_class(df.limit(0), ["a", "b", "c"], nu).passes == 1
