@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor ke
 result is written and read again as the next one's documents. All but the last return the columns of `documents`.
 A decision names its rows by doc_id (null is a value) and a hash of the text, so rows that share a doc_id, or have none, are
 judged each by its own text.
+
+For all stages: an empty table stays empty. Null and empty texts leave with the first stage, which finds no language in them; a later
+stage that is given such rows keeps them, but for the mix, which takes them 0 times. Repeated rows are rows of their own until the
+near-duplicate stage keeps one. Texts of any length are read whole, a row at a time. Further columns pass through whatever their
+names, those that a model's output is named like too, up to the last stage, which has columns of its own. Ties are settled by
+the rules of the operators.
 """
 
 from __future__ import annotations

@@ -329,7 +329,32 @@ def baseline_classify(spark, sf):
 
 @query
 def baseline_regress(spark, sf):
-    return models.baseline_table(spark, models.train_baseline(table(spark, sf, "lineitem").withColumn("row", F.col("l_orderkey") * 8 + F.col("l_linenumber")), "row", "l_extendedprice"))
+    return models.baseline_table(spark, models.train_baseline(_lines(spark, sf), "row", "l_extendedprice"))
+
+
+def _lines(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").withColumn("row", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+
+
+@query
+def baseline_checked(spark, sf):
+    """Both baselines: test rows, whether the metrics follow from the written predictions, and whether importances add up to one."""
+    rows = []
+    for name, df, key, target in (("classes", table(spark, sf, "orders"), "o_orderkey", "o_orderstatus"), ("numbers", _lines(spark, sf), "row", "l_extendedprice")):
+        found = models.train_baseline(df, key, target)
+        y, p, m = F.col("label"), F.col("prediction"), found["metrics"]
+        if name == "classes":
+            right, total, hits = found["scored"].agg(F.avg((y == p).cast("double")), F.count(F.lit(1)), F.count_if(y == p)).first()
+            right = abs(right - m["accuracy"]) < 1e-9 and abs(m["recall"] - hits / total) < 1e-9  # recall weighted by support is the share of hits
+        else:
+            rmse, spread, total = found["scored"].agg(F.sqrt(F.avg((y - p) ** 2)), F.var_pop(y), F.count(F.lit(1))).first()
+            right = abs(rmse / m["rmse"] - 1) < 1e-6 and abs((1 - rmse**2 / spread) - m["r2"]) < 1e-6
+        rows.append((name, found["problem_type"], total, bool(right), abs(sum(found["importances"].values()) - 1) < 1e-6))
+    return spark.createDataFrame(rows, "task string, problem_type string, n_test long, metrics_right boolean, importances_whole boolean")
+
+
+S["baseline_checked"] = """SELECT 'classes' AS task, 'classification' AS problem_type, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS n_test, true AS metrics_right, true AS importances_whole FROM orders
+UNION ALL SELECT 'numbers', 'regression', CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT), true, true FROM lineitem"""
 
 
 @query

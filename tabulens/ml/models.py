@@ -408,7 +408,7 @@ def cross_validate(estimator, df: DataFrame, folds: int = fv.CV_FOLDS, folded: D
 # Baseline -------------------------------------------------------------------------------------------------------
 
 def train_baseline(df: DataFrame, key: str, target: str | None = None, facts: Facts | None = None, full_depth: int = FULL_DEPTH, max_bins: int = MAX_BINS) -> dict:
-    """Random forest on simply prepared columns -> success, problem type, model, metrics, importances (or an error).
+    """Random forest on simply prepared columns -> success, problem type, model, metrics, importances, scored test rows (or an error).
 
     `full_depth` and `max_bins` limit the trees that would otherwise grow until pure and split every value.
     """
@@ -433,11 +433,11 @@ def train_baseline(df: DataFrame, key: str, target: str | None = None, facts: Fa
         options = {"labelCol": Y, "featuresCol": X, "numTrees": fv.BASELINE_TREES, "maxDepth": full_depth,
                    "maxMemoryInMB": NODE_MEMORY_MB, "maxBins": min(most, max_bins), "seed": fv.SEED}
         model = (RandomForestClassifier if kind == "classification" else RandomForestRegressor)(**options).fit(train)
-        scored = model.transform(test)
+        scored = written(model.transform(test).select(Y, "prediction"), "baseline-test")
         metrics = metrics_of(cells_of(scored, Y, "prediction"), "weighted") if kind == "classification" else regression_values(scored, Y, "prediction")
         name = "RandomForestClassifier" if kind == "classification" else "RandomForestRegressor"
         return {"success": True, "target": target, "problem_type": kind, "model": name, "metrics": metrics,
-                "importances": importances(model, features), "fitted": model}
+                "importances": importances(model, features), "fitted": model, "scored": scored}
     except Exception as e:  # noqa: BLE001
         return {"success": False, "target": target, "error": f"{type(e).__name__}: {e}"}
 
