@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A group with more than one in HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such groups.
 HOT_SHARE = 1000
+#: Rows of an Arrow batch that carries texts.
+TEXT_BATCH = 1000
 #: Longs of a broadcast bitmap of keys, at most (a power of two).
 FILTER_SLOTS = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +42,13 @@ def with_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: i
     return done.unionByName(rest)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Python tasks of this session get at most TEXT_BATCH rows at once, as each holds a whole text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
+        spark.conf.set(name, TEXT_BATCH)
+
+
 def may_hold(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, count: int) -> DataFrame:
     """`rows` with `__may`: false where no row of `wanted` (about `count` of them) has the row's key, which is a long.
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulens.llm.common import text_batches
+
 #: First code points of script ranges and the script from there on (fixed values, Unicode blocks).
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"),
            (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "other"), (0xB80, "tamil"), (0xC00, "telugu"), (0xC80, "other"), (0xE00, "thai"), (0xE80, "other"),
@@ -236,6 +238,7 @@ def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", sw
     Ties go to the language first by name. Words of a script that no learned language uses are scored by all languages.
     Columns of `docs` with one of the three names are replaced. Row order and repeats are kept, an empty table stays empty.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages floats
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import with_groups
+from tabulens.llm.common import text_batches, with_groups
 from tabulens.llm.interpolation import mix
 from tabulens.plans.workspace import Scratch, written
 
@@ -304,6 +304,7 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, linkable: Column) -> tuple[DataFrame, DataFrame]:
     """The signatures (doc_id, tk, n, set_key and more) of all rows, and for every distinct set: set_key, copies, part, component."""
+    text_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), F.coalesce(text, F.lit("")).alias("text"))
     sig = written(d.mapInArrow(_signatures, "doc_id long, tk long, n long, set_key binary, bands array<long>, sketch binary"), "near-sig")
