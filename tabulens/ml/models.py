@@ -417,12 +417,12 @@ def train_baseline(df: DataFrame, key: str, target: str | None = None, facts: Fa
     target = target or guess_target(df, roles, facts)
     try:
         if facts.rows < fv.BASELINE_MIN_ROWS:
-            raise ValueError("Insufficient data for modeling")
+            raise ValueError("too few rows, or no column to learn from")
         kind = problem_type_of(target, roles, facts)
         ready, features = prep_features(df, target, roles)
         features = [c for c in usable_features(ready, features) if c != key]
         if not features:
-            raise ValueError("Insufficient data for modeling")
+            raise ValueError("too few rows, or no column to learn from")
         ready = ready.filter(col(target).isNotNull())
         ready = coded_labels(ready, target)[0] if kind == "classification" else ready.withColumn(Y, col(target).cast("double"))
         split = plain_split(ready.withColumn("__id", row_number_of(ready, key)), "__id")
