@@ -86,3 +86,17 @@ FORMATS = {
     ".json": "json",
     ".parquet": "parquet",
 }
+
+# Report sentences: fixed values, as results hold them word for word.
+SAYS_SIZE = "Dataset contains {rows} rows and {columns} columns"
+SAYS_MISSING = "Dataset has {share:.1f}% missing values overall"
+SAYS_KINDS = "Found {numerical} numerical and {categorical} categorical columns"
+SAYS_SKEW = "Column '{column}' is highly {side}-skewed (skewness: {skew:.2f})"
+SAYS_CORRELATION = "{strength} {direction} correlation ({r:.2f}) between '{x}' and '{y}'"
+SAYS_OUTLIERS = "Column '{column}' has {count} outliers ({share:.1f}%)"
+SAYS_BINARY = "Column '{column}' is binary with values: {values}"
+ADVISES_LOG = "Consider log transformation for right-skewed '{column}'"
+ADVISES_SQUARE = "Consider square transformation for left-skewed '{column}'"
+ADVISES_ONE_HOT = "Consider one-hot encoding for categorical columns: {columns}"
+ADVISES_DATES = "Extract features from datetime columns: {columns}"
+ADVISES_SCALING = "Consider standardizing numerical features for ML models"
