@@ -54,3 +54,10 @@ def test_lists_of_blocks_come_in_parts():
     assert max(len(f) for f in found) <= neighbours.QUERY_ROWS and sum(len(f) for f in found) == 5000
     assert all(len(row) == 299 for f in found for row in f["blocks"])
 
+
+def test_classes_share_what_is_sent(spark, monkeypatch):
+    limits, plain = [], neighbours.knn
+    monkeypatch.setattr(neighbours, "knn", lambda *a, **b: limits.append(b["broadcast_bytes"]) or plain(*a, **b))
+    rows = [(i, [float(i % 7), float(i)], min(i % 8, 4)) for i in range(80)]
+    made = neighbours.smote(spark.createDataFrame(rows, "id long, vec array<double>, label int"), "label")
+    assert len(limits) == 4 and sum(limits) <= neighbours.BROADCAST_BYTES and made.count() == 4 * 30
