@@ -1,4 +1,4 @@
-"""Fits on many rows: boosted trees in a task, a block of rows at a time; the SVM without a written map; folds without models on the driver."""
+"""Fits on many rows: boosted trees in a task, a block of rows at a time; the SVM without a written map; folds without models on the driver; failures."""
 
 from types import SimpleNamespace
 
@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tabulens.catalog import modelling
 from tabulens.ml import boosting, forest, models, neighbours
 from tabulens.ml.metrics import cells_of, metrics_of
 
@@ -67,3 +68,12 @@ def test_points_reach_the_driver_as_numbers(spark, monkeypatch):
     pairs = neighbours.knn(points, points, 2, skip_self=True).collect()
     assert len(pairs) == 80 and {r["nid"] for r in pairs if r["qid"] == 0} == {1, 2}
     assert neighbours.knn(points, points.limit(0), 2).count() == 0
+
+
+def test_a_failed_model_is_no_shorter_board(spark, monkeypatch):
+    board = spark.createDataFrame([(1, "XGBoost")], "rank int, model string")
+    monkeypatch.setattr(modelling, "_trained", lambda *a: SimpleNamespace(board=board, failures={"CatBoost": "ValueError: no"}))
+    with pytest.raises(RuntimeError, match="CatBoost: ValueError: no"):
+        modelling.leaderboard_rows(spark, "")
+    monkeypatch.setattr(modelling, "_trained", lambda *a: SimpleNamespace(board=board, failures={}))
+    assert modelling.leaderboard_rows(spark, "").count() == 1
